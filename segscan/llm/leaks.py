@@ -96,21 +96,43 @@ def tile(passage: np.ndarray, text: np.ndarray, shortest: int = 1) -> list[tuple
     return tiles
 
 
-def in_order(passage: np.ndarray, text: np.ndarray, most: int, need: int) -> bool:
-    """Whether ``need`` words of the passage stand in their order within some ``most`` words in a row of the text."""
+def full_windows(passage: np.ndarray, text: np.ndarray, most: int, need: int) -> list[int]:
+    """Where the windows of ``most`` words begin that share ``need`` words with the passage, each word as often as both have it."""
+    left: dict[int, int] = {}
+    for x in passage.tolist():
+        left[x] = left.get(x, 0) + 1
+    row = text.tolist()
+    shared, out = 0, []
+    for i, x in enumerate(row):
+        c = left.get(x)
+        if c is not None:
+            shared += c > 0
+            left[x] = c - 1
+        if i >= most:
+            c = left.get(row[i - most])
+            if c is not None:
+                shared -= c >= 0
+                left[row[i - most]] = c + 1
+        if shared >= need and (i >= most - 1 or i == len(row) - 1):
+            out.append(max(0, i - most + 1))
+    return out
+
+
+def in_order(passage: np.ndarray, text: np.ndarray, most: int, need: int, begins: list[int] | None = None) -> bool:
+    """Whether ``need`` words of the passage stand in their order within some ``most`` words in a row of the text.
+
+    ``begins``: the windows of ``full_windows``, where they are known.
+    """
     n = len(passage)
     full = (1 << n) - 1
     masks: dict[int, int] = {}
     for i, x in enumerate(passage.tolist()):
         masks[x] = masks.get(x, 0) | 1 << i
     row = [masks.get(x, 0) for x in text.tolist()]
-    for begin in range(len(row)):
-        if not row[begin]:
-            continue
-        if sum(1 for x in row[begin : begin + most] if x) < need:
-            if len(row) - begin <= most:
-                return False
-            continue
+    begins = full_windows(passage, text, most, need) if begins is None else begins
+    for at, begin in enumerate(begins):
+        if not row[begin] and at + 1 < len(begins) and begins[at + 1] == begin + 1:
+            continue  # the next window holds all that this one does
         v = full  # bit-parallel longest common subsequence
         for m in row[begin : begin + most]:
             if m:
@@ -180,22 +202,18 @@ class Items:
         for k, lo, hi in self._stretches(at):
             if out.get(k, (0, False))[1]:
                 continue
-            n, near = len(self.words[k]), at[lo:hi]
-            share = self._share(k, near)
+            passage, near = self.words[k], at[lo:hi]
+            n, most, need = len(passage), self.most(len(passage)), self.need(len(passage))
+            begins = full_windows(passage, near, most, need)
+            if not begins:  # no tiling of a window can reach the share
+                continue
+            near = near[begins[0] : begins[-1] + most]
+            share = sum(t[2] for t in tile(passage, near)) / n
             if share >= SHARE:
-                found = in_order(self.words[k], near, self.most(n), self.need(n))
+                found = in_order(passage, near, most, need, [b - begins[0] for b in begins])
                 out[k] = max(out.get(k, (0.0, False)), (share, found), key=lambda x: (x[1], x[0]))
         return [(self.ids[k], round(share, 4), found) for k, (share, found) in out.items()]
 
-    def _share(self, k: int, near: np.ndarray) -> float:
-        """The share of the passage under tiles; a count of shared words, which no tiling exceeds, is tried first."""
-        passage = self.words[k]
-        m = len(self.code) + 1
-        both = np.minimum(np.bincount(passage, minlength=m), np.bincount(near, minlength=m))
-        if both[1:].sum() < self.need(len(passage)):
-            return 0.0
-        return sum(t[2] for t in tile(passage, near)) / len(passage)
-
     def _has_run(self, k: int, run: np.ndarray) -> bool:
         w = self.words[k]
         return any((w[i : i + len(run)] == run).all() for i in np.flatnonzero(w[: len(w) - len(run) + 1] == run[0]).tolist())
