@@ -171,6 +171,8 @@ class Items:
         self.offset = np.concatenate(([0], np.cumsum([len(x) for x in by_word])))
         self.member = np.array([k for x in by_word for k in x], np.int64)
         self.span = np.array([self.most(len(w)) for w in self.words], np.int64)
+        self.tally = [np.bincount(w, minlength=len(self.code) + 1) for w in self.words]
+        self.has = [t > 0 for t in self.tally]
         grams.sort()
         self.gram = np.array([g for g, _ in grams], np.uint64)
         self.gram_item = np.array([k for _, k in grams], np.int64)
@@ -204,6 +206,12 @@ class Items:
                 continue
             passage, near = self.words[k], at[lo:hi]
             n, most, need = len(passage), self.most(len(passage)), self.need(len(passage))
+            # Two counts that no window exceeds: its words that the passage has at all, and the words of the whole part.
+            upto = np.concatenate(([0], np.cumsum(self.has[k][near])))
+            if (upto[-1] if len(near) <= most else (upto[most:] - upto[:-most]).max()) < need:
+                continue
+            if np.minimum(np.bincount(near, minlength=len(self.tally[k])), self.tally[k]).sum() < need:
+                continue
             begins = full_windows(passage, near, most, need)
             if not begins:  # no tiling of a window can reach the share
                 continue
