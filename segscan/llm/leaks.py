@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segscan.llm.words import spread, words
+from segscan.llm.words import scatter, spread, word_hashes
 
 #: Words in a row that are a leak by themselves.
 RUN_WORDS = 16
@@ -26,7 +26,12 @@ RUN_WORDS = 16
 SHARE = 0.7
 STRETCH = 1.5
 #: Items that are one query block: a larger item table is searched block by block.
-BLOCK_ITEMS = 2_000
+BLOCK_ITEMS = 500
+#: Characters of texts that are read at once (a longer text is read alone), and words that are searched at once.
+READ_CHARS = 400_000
+PIECE_WORDS = 100_000
+#: Lengths up to which the tiling keeps its hashes.
+_SHORT = 64
 _PRIME = np.uint64(1_099_511_628_211)
 
 
@@ -35,8 +40,7 @@ def rolling(ids: np.ndarray, length: int) -> np.ndarray:
     if len(ids) < length:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        one = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        one ^= one >> np.uint64(29)
+        one = scatter(ids)
         out, size = None, 0
         power, factor, bit = one, _PRIME, 1
         while True:
@@ -56,37 +60,41 @@ def rolling(ids: np.ndarray, length: int) -> np.ndarray:
 def tile(passage: np.ndarray, text: np.ndarray, shortest: int = 1) -> list[tuple[int, int, int]]:
     """Tiles (place in passage, place in text, length), longest first, none overlapping another in either text."""
     free_p, free_t = np.ones(len(passage), bool), np.ones(len(text), bool)
-    tiles = []
-    length = min(len(passage), len(text))
-    known = set(text.tolist())
-    # No tile is longer than the longest stretch of the passage made of the text's words.
-    common = np.array([x in known for x in passage.tolist()], bool)
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], common.view(np.int8), [0]))))
-    length = min(length, int((edges[1::2] - edges[::2]).max())) if len(edges) else 0
-    # The longest common stretch, by halving; then one length after the other downwards.
-    lo, hi = 0, length
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if np.isin(rolling(passage, mid), rolling(text, mid)).any():
-            lo = mid
-        else:
-            hi = mid - 1
-    length = lo
+    tiles: list[tuple[int, int, int]] = []
+    # Hashes of all short lengths, each from the one before, up to the longest common stretch.
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    one_p, one_t = scatter(passage), scatter(text)
+    hp, ht = one_p, one_t
+    while len(levels) < _SHORT and len(hp) and len(ht) and not set(hp.tolist()).isdisjoint(ht.tolist()):
+        levels.append((hp, ht))
+        k = len(levels)
+        with np.errstate(over="ignore"):
+            hp, ht = hp[:-1] * _PRIME + one_p[k:], ht[:-1] * _PRIME + one_t[k:]
+    length = len(levels)
+    if length == _SHORT:  # longer ones by halving
+        hi = min(len(passage), len(text))
+        while length < hi:
+            mid = (length + hi + 1) // 2
+            if np.isin(rolling(passage, mid), rolling(text, mid)).any():
+                length = mid
+            else:
+                hi = mid - 1
     while length >= shortest:
-        hp, ht = rolling(passage, length), rolling(text, length)
-        used_p = np.concatenate(([0], np.cumsum(~free_p)))
-        used_t = np.concatenate(([0], np.cumsum(~free_t)))
+        hp, ht = levels[length - 1] if length <= _SHORT else (rolling(passage, length), rolling(text, length))
+        used_p, used_t = (np.concatenate(([0], np.cumsum(~f))) for f in (free_p, free_t))
         open_p = np.flatnonzero(used_p[length:] == used_p[:-length])
         open_t = np.flatnonzero(used_t[length:] == used_t[:-length])
-        open_p = open_p[np.isin(hp[open_p], ht[open_t])] if len(open_p) and len(open_t) else open_p[:0]
-        if len(open_p):
-            where: dict[int, list[int]] = {}
-            for j in open_t[np.isin(ht[open_t], hp[open_p])].tolist():
-                where.setdefault(int(ht[j]), []).append(j)
-            for i in open_p.tolist():
-                if not free_p[i : i + length].all():
+        mine = hp[open_p].tolist()
+        wanted = set(mine)
+        where: dict[int, list[int]] = {}
+        for j, h in zip(open_t.tolist(), ht[open_t].tolist()):
+            if h in wanted:
+                where.setdefault(h, []).append(j)
+        if where:
+            for i, h in zip(open_p.tolist(), mine):
+                if h not in where or not free_p[i : i + length].all():
                     continue
-                for j in where.get(int(hp[i]), ()):
+                for j in where[h]:
                     if free_t[j : j + length].all() and (passage[i : i + length] == text[j : j + length]).all():
                         free_p[i : i + length] = False
                         free_t[j : j + length] = False
@@ -146,36 +154,38 @@ def in_order(passage: np.ndarray, text: np.ndarray, most: int, need: int, begins
 class Items:
     """A block of items made ready for the search."""
 
-    def __init__(self, ids: list[int], passages: list[str | None], counts: dict[str, int]) -> None:
-        self.code: dict[str, int] = {}
+    def __init__(self, ids: list, passages: list[str | None]) -> None:
+        hashes, n_words = word_hashes(passages)
+        self.known, codes, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         self.ids, self.words, seeds, grams = [], [], [], []
-        for item, passage in zip(ids, passages):
-            w = words(passage)
-            if not w:
+        ends = np.cumsum(n_words)
+        for item, n, end in zip(ids, n_words.tolist(), ends.tolist()):
+            if not n:
                 continue
-            at = np.array([self.code.setdefault(x, len(self.code) + 1) for x in w], np.int64)
+            at = codes[end - n : end].astype(np.int64) + 1
             k = len(self.ids)
             self.ids.append(item)
             self.words.append(at)
-            need = self.need(len(w))
             # Any need of the n words include at least r - (n - need) of the r rarest.
-            order = sorted(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-            r = min(len(w), 2 * (len(w) - need) + 1)
-            seeds.append((np.unique(at[order[:r]]), r - (len(w) - need)))
+            spare = n - self.need(n)
+            r = min(n, 2 * spare + 1)
+            rarest = np.lexsort((np.arange(n), at, counts[at - 1]))[:r]
+            seeds.append((np.unique(at[rarest]), r - spare))
             grams += [(h, k) for h in np.unique(rolling(at, RUN_WORDS)).tolist()]
-        by_word: list[list[int]] = [[] for _ in range(len(self.code) + 1)]
+        by_word: list[list[int]] = [[] for _ in range(len(self.known) + 1)]
         for k, (s, _) in enumerate(seeds):
             for x in s.tolist():
                 by_word[x].append(k)
+        self.size = np.array([len(x) for x in by_word], np.int64)
+        self.offset = np.cumsum(self.size) - self.size
+        self.member = np.array([k for x in by_word for k in x], np.int16)
         self.least = np.array([n for _, n in seeds], np.int64)
-        self.offset = np.concatenate(([0], np.cumsum([len(x) for x in by_word])))
-        self.member = np.array([k for x in by_word for k in x], np.int64)
         self.span = np.array([self.most(len(w)) for w in self.words], np.int64)
-        self.tally = [np.bincount(w, minlength=len(self.code) + 1) for w in self.words]
-        self.has = [t > 0 for t in self.tally]
+        self.needs = np.array([self.need(len(w)) for w in self.words], np.int64)
         grams.sort()
         self.gram = np.array([g for g, _ in grams], np.uint64)
         self.gram_item = np.array([k for _, k in grams], np.int64)
+        self._tally: np.ndarray | None = None
 
     @staticmethod
     def need(n: int) -> int:
@@ -185,82 +195,113 @@ class Items:
     def most(n: int) -> int:
         return int(STRETCH * n)
 
-    def search(self, text: str | None) -> list[tuple[int, float, bool]]:
-        """(item, share of the passage under tiles, whether it is a leak) for each item looked at and found near."""
-        at = np.fromiter((self.code.get(x, 0) for x in words(text)), np.int64)
-        if not len(at) or not self.ids:
+    @property
+    def tally(self) -> np.ndarray:
+        """How often each item has each word; made where it is used."""
+        if self._tally is None:
+            self._tally = np.stack([np.bincount(w, minlength=len(self.known) + 1) for w in self.words]).astype(np.int32)
+        return self._tally
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, object, float, bool]]:
+        """(place of the text, item, share of the passage under tiles, whether it is a leak) for each item found near."""
+        hashes, n_words = word_hashes(texts)
+        if not len(hashes) or not self.ids:
             return []
-        out: dict[int, tuple[float, bool]] = {}
+        code = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        at = np.where(self.known[code] == hashes, code + 1, 0)
+        doc = np.repeat(np.arange(len(texts)), n_words)
+        out: dict[tuple[int, int], tuple[float, bool]] = {}
+        # Pieces overlap by more than any stretch that is a leak.
+        over = max(int(self.span.max()), RUN_WORDS) + 1
+        for b in range(0, max(1, len(at) - over), PIECE_WORDS):
+            piece = slice(b, b + PIECE_WORDS + over)
+            self._runs(at[piece], doc[piece], out)
+            self._shares(at[piece], doc[piece], out)
+        return [(d, self.ids[k], round(share, 4), found) for (d, k), (share, found) in out.items()]
+
+    def _runs(self, at: np.ndarray, doc: np.ndarray, out: dict) -> None:
+        """Runs of ``RUN_WORDS`` words that a passage has too."""
         h = rolling(at, RUN_WORDS)
-        if len(h) and len(self.gram):
-            lo, hi = np.searchsorted(self.gram, h, "left"), np.searchsorted(self.gram, h, "right")
-            for p in np.flatnonzero(hi > lo).tolist():
-                for g in range(int(lo[p]), int(hi[p])):
-                    k = int(self.gram_item[g])
-                    if k not in out and self._has_run(k, at[p : p + RUN_WORDS]):
-                        n = len(self.words[k])
-                        near = at[max(0, p - n) : p + n + RUN_WORDS]
-                        out[k] = (sum(t[2] for t in tile(self.words[k], near, 3)) / n, True)
-        for k, lo, hi in self._stretches(at):
-            if out.get(k, (0, False))[1]:
-                continue
-            passage, near = self.words[k], at[lo:hi]
-            n, most, need = len(passage), self.most(len(passage)), self.need(len(passage))
-            # Two counts that no window exceeds: its words that the passage has at all, and the words of the whole part.
-            upto = np.concatenate(([0], np.cumsum(self.has[k][near])))
-            if (upto[-1] if len(near) <= most else (upto[most:] - upto[:-most]).max()) < need:
-                continue
-            if np.minimum(np.bincount(near, minlength=len(self.tally[k])), self.tally[k]).sum() < need:
-                continue
-            begins = full_windows(passage, near, most, need)
-            if not begins:  # no tiling of a window can reach the share
+        strange = np.concatenate(([0], np.cumsum(at == 0)))
+        spots = np.flatnonzero((strange[RUN_WORDS:] == strange[: len(h)]) & (doc[RUN_WORDS - 1 :] == doc[: len(h)])) if len(h) else np.zeros(0, np.int64)
+        lo, hi = np.searchsorted(self.gram, h[spots], "left"), np.searchsorted(self.gram, h[spots], "right")
+        for s in np.flatnonzero(hi > lo).tolist():
+            p = int(spots[s])
+            for k in self.gram_item[int(lo[s]) : int(hi[s])].tolist():
+                key = (int(doc[p]), k)
+                w = self.words[k]
+                run = at[p : p + RUN_WORDS]
+                if not out.get(key, (0, False))[1] and any((w[i : i + len(run)] == run).all() for i in np.flatnonzero(w[: len(w) - len(run) + 1] == run[0]).tolist()):
+                    n = len(w)
+                    near = slice(max(0, p - n), p + n + RUN_WORDS)
+                    out[key] = (sum(t[2] for t in tile(w, at[near][doc[near] == doc[p]], 3)) / n, True)
+
+    def _shares(self, at: np.ndarray, doc: np.ndarray, out: dict) -> None:
+        """Windows that share enough words with a passage, tiled, then checked for order."""
+        k, lo, hi = self._stretches(at, doc)
+        for capped in (False, True):  # first each word of the passage as often as it comes, then as often as both have it
+            if not len(k):
+                return
+            length, most = hi - lo, self.span[k]
+            base = np.cumsum(length) - length
+            part = np.repeat(np.arange(len(k)), length)
+            spot = np.arange(len(part))
+            word = at[spot + (lo - base)[part]]
+            cap = self.tally[k[part], word]
+            if capped:
+                e = np.flatnonzero(cap)
+                key = part[e] * (len(self.known) + 1) + word[e]
+                order = np.argsort(key, kind="stable")
+                key, place = key[order], e[order]
+                # A word counts in the windows that begin after its copy so many copies before it as the passage has.
+                before = np.arange(len(e)) - cap[place]
+                same = (before >= 0) & (key[np.maximum(before, 0)] == key)
+                since = np.maximum(np.where(same, place[np.maximum(before, 0)] + 1, 0), np.maximum(place - most[part[place]] + 1, base[part[place]]))
+                count = np.cumsum(np.bincount(since, minlength=len(part) + 1) - np.bincount(place + 1, minlength=len(part) + 1))[: len(part)]
+            else:
+                upto = np.concatenate(([0], np.cumsum(cap > 0)))
+                count = upto[np.minimum(spot + most[part], (base + length)[part])] - upto[:-1]
+            full = np.flatnonzero((count >= self.needs[k][part]) & (spot - base[part] <= np.maximum(0, length - most)[part]))
+            mine, first = np.unique(part[full], return_index=True)
+            if capped:
+                break
+            last = np.concatenate((first[1:], [len(full)])) - 1
+            begin = lo[mine] + full[first] - base[mine]
+            end = np.minimum(lo[mine] + full[last] - base[mine] + most[mine], hi[mine])
+            k, lo, hi = k[mine], begin, end
+        for m, begins in zip(mine.tolist(), np.split(full, first[1:])):
+            i = int(k[m])
+            key = (int(doc[lo[m]]), i)
+            if out.get(key, (0, False))[1]:
                 continue
-            near = near[begins[0] : begins[-1] + most]
-            share = sum(t[2] for t in tile(passage, near)) / n
+            begins = (begins - base[m]).tolist()
+            passage, most, need = self.words[i], int(self.span[i]), int(self.needs[i])
+            near = at[lo[m] + begins[0] : min(int(hi[m]), int(lo[m]) + begins[-1] + most)]
+            share = sum(t[2] for t in tile(passage, near)) / len(passage)
             if share >= SHARE:
                 found = in_order(passage, near, most, need, [b - begins[0] for b in begins])
-                out[k] = max(out.get(k, (0.0, False)), (share, found), key=lambda x: (x[1], x[0]))
-        return [(self.ids[k], round(share, 4), found) for k, (share, found) in out.items()]
-
-    def _has_run(self, k: int, run: np.ndarray) -> bool:
-        w = self.words[k]
-        return any((w[i : i + len(run)] == run).all() for i in np.flatnonzero(w[: len(w) - len(run) + 1] == run[0]).tolist())
+                out[key] = max(out.get(key, (0.0, False)), (share, found), key=lambda x: (x[1], x[0]))
 
-    def _stretches(self, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, begin, end) of the parts of the text where enough seeds stand close together."""
-        size = self.offset[at + 1] - self.offset[at]
-        size[at == 0] = 0
+    def _stretches(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items with the begins and ends of the parts of a text where enough of their seeds stand close together."""
+        size = self.size[at]
         total = int(size.sum())
-        if not total:
-            return
         pos = np.repeat(np.arange(len(at)), size)
-        first = np.repeat(self.offset[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        item = self.member[first + np.arange(total)]
-        enough = np.bincount(item, minlength=len(self.ids)) >= self.least
-        keep = enough[item]
-        pos, item = pos[keep], item[keep]
+        item = self.member[np.repeat(self.offset[at] - (np.cumsum(size) - size), size) + np.arange(total)]
         order = np.argsort(item, kind="stable")
         pos, item = pos[order], item[order]
-        # The hit that stands least - 1 hits later must be of the same item and near enough.
-        later = np.arange(len(item)) + self.least[item] - 1
-        ok = later < len(item)
-        later = np.minimum(later, max(0, len(item) - 1))
-        ok &= (item[later] == item) & (pos[later] - pos < self.span[item])
+        # The hit that stands least - 1 hits later must be of the same item and text and near enough.
+        later = np.arange(total) + self.least[item] - 1
+        ok = later < total
+        later = np.minimum(later, max(0, total - 1))
+        ok &= (item[later] == item) & (pos[later] - pos < self.span[item]) & (doc[pos[later]] == doc[pos])
         hit = np.flatnonzero(ok)
-        i = 0
-        while i < len(hit):
-            k, begin, end = int(item[hit[i]]), int(pos[hit[i]]), int(pos[later[hit[i]]])
-            j = i + 1
-            while j < len(hit) and item[hit[j]] == k and pos[hit[j]] <= end:
-                end = max(end, int(pos[later[hit[j]]]))
-                j += 1
-            i = j
-            s = int(self.span[k])
-            begin, end = max(0, begin - s), min(len(at), end + s + 1)
-            # Long parts are cut into pieces that overlap by one span, so that every span lies in one of them.
-            step = 2 * s
-            for x in range(begin, max(begin + 1, end - s), step):
-                yield k, x, min(end, x + step + s)
+        k, begin, end = item[hit].astype(np.int64), pos[hit], pos[later[hit]]
+        new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (begin[1:] > end[:-1])))) if len(hit) else hit
+        k, begin, end = k[new], begin[new], end[np.concatenate((new[1:], [len(hit)])).astype(np.int64) - 1] if len(hit) else end
+        s = self.span[k]
+        of = doc[begin]
+        return k, np.maximum(begin - s, np.searchsorted(doc, of, "left")), np.minimum(end + s + 1, np.searchsorted(doc, of, "right"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
@@ -282,16 +323,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b) if blocks > 1 else items
         got = part.select(item_id, passage).collect()  # about BLOCK_ITEMS passages
-        counts: dict[str, int] = {}
-        for r in got:
-            for w in words(r[1]):
-                counts[w] = counts.get(w, 0) + 1
-        ready = spark.sparkContext.broadcast(Items([r[0] for r in got], [r[1] for r in got], counts))
+        ready = spark.sparkContext.broadcast(Items([r[0] for r in got], [r[1] for r in got]))
 
         def run(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
             search = ready.value.search
             for pdf in batches:
-                out = [(d, *hit) for d, t in zip(pdf["doc_id"], pdf["text"]) for hit in search(t)]
+                ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+                out, begin, size = [], 0, 0
+                for end, t in enumerate(texts, 1):
+                    size += len(t)
+                    if size >= READ_CHARS or end == len(texts):
+                        out += [(ids[begin + i], *hit) for i, *hit in search(texts[begin:end])]
+                        begin, size = end, 0
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "tile_share", "is_leak"])
 
         found = found.unionByName(rows.mapInPandas(run, schema))
