@@ -46,3 +46,63 @@ def sweep(df: DataFrame, score: str, truth: Column) -> DataFrame:
     per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.coalesce(truth, F.lit(False))).alias("_t"), F.count("*").alias("_n"))
     down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return per.select("threshold", F.sum("_t").over(down).alias("tp"), (F.sum("_n").over(down) - F.sum("_t").over(down)).alias("fp"))
+
+
+def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
+    """``group, n, observed, expected, chi2``: each group against all others, one degree of freedom.
+
+    Rows are counted per group and time before any window. Rows with a null among the three are left out; ``chi2`` is
+    null where the variance is 0.
+    """
+    per = df.select(F.col(group).alias("group"), F.col(time).alias("time"), F.col(event).cast("long").alias("e")).dropna().groupBy("group", "time").agg(F.sum("e").alias("d"), F.count("*").alias("c"))
+    # Over all distinct times: hazard d / n and the two parts of the variance, summed from the start. A row of a group
+    # brings all that was summed up to its own time, so no group is paired with all times.
+    upto = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    times = per.groupBy("time").agg(F.sum("d").alias("_d"), F.sum("c").alias("_c")).withColumn("_n", F.sum("_c").over(Window.orderBy(F.col("time").desc())))
+    w = F.when(F.col("_n") > 1, F.col("_d") * (F.col("_n") - F.col("_d")) / (F.col("_n") - 1)).otherwise(0.0)
+    times = times.select("time", F.sum(F.col("_d") / F.col("_n")).over(upto).alias("_h"), F.sum(w / F.col("_n")).over(upto).alias("_a"), F.sum(w / F.col("_n") / F.col("_n")).over(upto).alias("_b"))
+    along = Window.partitionBy("group").orderBy("time")
+    own = per.join(times, "time").withColumns({"_g": F.sum("c").over(Window.partitionBy("group").orderBy(F.col("time").desc())), "_step": F.col("_b") - F.coalesce(F.lag("_b").over(along), F.lit(0.0))})
+    out = own.groupBy("group").agg(F.sum("c").alias("n"), F.sum("d").alias("observed"), F.sum(F.col("c") * F.col("_h")).alias("expected"), (F.sum(F.col("c") * F.col("_a")) - F.sum(F.col("_step") * F.col("_g") * F.col("_g"))).alias("_v"))
+    return out.select("group", "n", "observed", "expected", F.when(F.col("_v") > 1e-9, F.pow(F.col("observed") - F.col("expected"), F.lit(2)) / F.col("_v")).alias("chi2"))
+
+
+def at_risk(df: DataFrame, time: str, group: str, marks: list[float]) -> DataFrame:
+    """``group, time, n_risk`` for each of the given times: rows of the group with at least that time; 0 where there is none left."""
+    counts = df.groupBy(F.col(group).alias("group")).agg(*[F.count_if(F.col(time) >= m).alias(f"_{i}") for i, m in enumerate(marks)])
+    return counts.select("group", F.explode(F.array(*[F.struct(F.lit(float(m)).alias("time"), F.col(f"_{i}").alias("n_risk")) for i, m in enumerate(marks)])).alias("_r")).select("group", "_r.*")
+
+
+def unequal_variance_t(df: DataFrame, value: str, group: Column) -> DataFrame:
+    """One row: ``n_1, n_0, mean_1, mean_0, t, df`` of the two-sample test without equal variances; null values and groups are left out."""
+    a = df.select(F.col(value).cast("double").alias("x"), group.alias("g")).dropna().agg(*[f.alias(f"{n}_{g}") for g in (1, 0) for n, f in (("n", F.count_if(F.col("g") == bool(g))), ("mean", F.avg(F.when(F.col("g") == bool(g), F.col("x")))), ("v", F.var_samp(F.when(F.col("g") == bool(g), F.col("x")))))])
+    e1, e0 = F.try_divide(F.col("v_1"), F.col("n_1")), F.try_divide(F.col("v_0"), F.col("n_0"))
+    return a.select("n_1", "n_0", "mean_1", "mean_0", F.try_divide(F.col("mean_1") - F.col("mean_0"), F.sqrt(e1 + e0)).alias("t"), F.try_divide((e1 + e0) * (e1 + e0), F.try_divide(e1 * e1, F.col("n_1") - 1) + F.try_divide(e0 * e0, F.col("n_0") - 1)).alias("df"))
+
+
+def feature_screen(df: DataFrame, features: list[str], truth: Column, least: int = 20) -> DataFrame:
+    """``feature, n, n_pos, direction, average_precision, auroc``: how well each feature alone ranks the true rows, in its better direction.
+
+    Values are counted per feature and distinct value first; equal values share one step. Null, NaN and infinite values
+    are left out; features with fewer than ``least`` values or one class only give no row.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
+    long = df.select(F.coalesce(truth, F.lit(False)).alias("_t"), pairs.alias("_p")).select("_t", "_p.*").filter("x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')")
+    per = long.groupBy("feature", "x").agg(F.count_if("_t").alias("p"), F.count("*").alias("c"))
+    both = per.select("feature", "p", "c", F.explode(F.array(F.struct(F.lit("high").alias("direction"), (-F.col("x")).alias("o")), F.struct(F.lit("low").alias("direction"), F.col("x").alias("o")))).alias("_s")).select("feature", "p", "c", "_s.*")
+    way = Window.partitionBy("feature", "direction")
+    upto = way.orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = both.withColumns({"tp": F.sum("p").over(upto), "m": F.sum("c").over(upto), "np": F.sum("p").over(way), "n": F.sum("c").over(way)}).filter(f"n >= {least} AND np > 0 AND np < n")
+    per_way = r.groupBy("feature", "direction").agg(
+        F.max("n").alias("n"), F.max("np").alias("n_pos"), F.sum(F.col("p") / F.col("np") * F.col("tp") / F.col("m")).alias("average_precision"),
+        F.sum((F.col("c") - F.col("p")) * (F.col("tp") - F.col("p") / 2) / (F.col("np") * (F.col("n") - F.col("np")))).alias("auroc"),
+    )
+    best = per_way.groupBy("feature").agg(F.max_by(F.struct("n", "n_pos", "direction", "average_precision", "auroc"), F.struct(F.round("average_precision", 9), F.col("direction") == "high")).alias("_b"))
+    return best.select("feature", "_b.*")
+
+
+def entity_outcomes(df: DataFrame, entity: str, call: Column, truth: Column) -> DataFrame:
+    """``entity, outcome``: recovered if a true row is called, missed if none of the true ones is, else false_positive or correct_negative."""
+    c, t = F.coalesce(call, F.lit(False)), F.coalesce(truth, F.lit(False))
+    flags = df.groupBy(entity).agg(F.bool_or(c & t).alias("hit"), F.bool_or(t).alias("true"), F.bool_or(c).alias("called"))
+    return flags.select(entity, F.when(F.col("hit"), "recovered").when(F.col("true"), "missed").when(F.col("called"), "false_positive").otherwise("correct_negative").alias("outcome"))

@@ -16,10 +16,10 @@ from segscan.operators.changepoints import breakpoints, probe_segments
 from segscan.operators.compaction import assign_groups, balance, first_copies
 from segscan.operators.packed import split_values, unpack
 from segscan.operators.references import find_orphans, orphan_report
-from segscan.plans import cohort, preparation
+from segscan.plans import cohort, nomination, preparation
 
-QUERIES = {**preparation.QUERIES, **cohort.QUERIES}
-ORACLE = {**preparation.ORACLE, **cohort.ORACLE}
+QUERIES = {**preparation.QUERIES, **cohort.QUERIES, **nomination.QUERIES}
+ORACLE = {**preparation.ORACLE, **cohort.ORACLE, **nomination.ORACLE}
 
 
 def _plain(v):
