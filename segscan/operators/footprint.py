@@ -30,13 +30,15 @@ def longest_window(states: Column, k: int) -> Column:
     return F.aggregate(states, zero, step, lambda s: F.struct(s["n"].alias("n"), s["lo"].alias("lo"), (s["lo"] + s["n"] - 1).alias("hi")))
 
 
-def footprint(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom"), k: int = 3) -> DataFrame:
+def footprint(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom"), k: int = 3, more: dict[str, Column] | None = None) -> DataFrame:
     """One row per chromosome: spans of the longest oscillation chain, of altered segments and of state changes, in Mb.
 
     The chain skips segments without tcn, but counts those inside its bounds; without any tcn its spans are null and its
     counts 0. A segment is altered if its whole copy number (half to even) isn't the most frequent one, the lowest of
     equally frequent; islands of no length aren't counted. State changes compare whole copies, null like a value.
+    ``more``: other aggregates of the same groups, so that they need no scan and no join of their own.
     """
+    more = more or {}
     along = Window.partitionBy(*key).orderBy("loc_start", "loc_end")
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = segments.withColumns({"_i": F.row_number().over(along), "_v": F.rint("tcn").cast("int"), "_w": F.rint("lcn").cast("int"), "_len": F.greatest(F.col("loc_end") - F.col("loc_start"), F.lit(0.0))})
@@ -57,7 +59,7 @@ def footprint(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom")
         F.count("*").alias("n_segments"), (F.max("loc_end") - F.min("loc_start")).alias("_span"), F.coalesce(F.sum("_len"), F.lit(0.0)).alias("_total"),
         F.coalesce(F.sum(F.when(F.col("_altered"), F.col("_len"))), F.lit(0.0)).alias("_union"),
         F.coalesce(F.max(F.when(F.col("_altered"), F.col("loc_end"))) - F.min(F.when(F.col("_altered"), F.col("loc_start"))), F.lit(0.0)).alias("_altered_span"),
-        F.count_if(F.col("_island_len") > 0).alias("n_altered_islands"), F.coalesce(F.max("_island_len"), F.lit(0.0)).alias("_largest"), F.coalesce(change_span, F.lit(0.0)).alias("_change_span"), some.alias("_s"),
+        F.count_if(F.col("_island_len") > 0).alias("n_altered_islands"), F.coalesce(F.max("_island_len"), F.lit(0.0)).alias("_largest"), F.coalesce(change_span, F.lit(0.0)).alias("_change_span"), some.alias("_s"), *[e.alias(n) for n, e in more.items()],
     )
     out = out.withColumn("_runs", F.filter("_s", lambda x: x["_begins"])).withColumn("_c", longest_window(F.transform("_runs", lambda x: x["_v"]), k))
     first = F.try_element_at("_runs", F.col("_c.lo"))["_i"]
@@ -74,7 +76,7 @@ def footprint(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom")
     part = lambda a, b: F.try_divide(F.col(a), F.col(b))
     moves = F.col("_c.n") - 1
     return out.select(
-        *key, "n_segments", (F.col("_span") / MB).alias("chrom_span_mb"), (F.col("_total") / MB).alias("chrom_seg_len_mb"),
+        *key, *more, "n_segments", (F.col("_span") / MB).alias("chrom_span_mb"), (F.col("_total") / MB).alias("chrom_seg_len_mb"),
         F.col("_c.n").alias("osc_chain"), F.size("_chain").alias("osc_chain_n_segments"), (F.col("_chain_span") / MB).alias("osc_chain_span_mb"), (F.col("_chain_len") / MB).alias("osc_chain_len_sum_mb"),
         part("_chain_span", "_span").alias("osc_chain_frac_chrom"), part("_chain_len", "_total").alias("osc_chain_len_frac_chrom"),
         F.try_divide(F.col("_c.n"), F.col("_chain_span") / MB).alias("osc_chain_density_per_mb"), F.when(moves > 0, F.col("_chain_span") / MB / moves).alias("bp_per_osc_transition_mb"),

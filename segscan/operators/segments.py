@@ -35,9 +35,11 @@ def clean_segments(cncf: DataFrame) -> DataFrame:
 
     Rows without run, chromosome or start belong to no sequence and are left out.
     """
+    values = ("sample_id", "loc_end", "num_mark", "cnlr_median", "tcn", "lcn")
     rows = cncf.select("sample_id", "facets_id", bare_chrom("chrom").alias("chrom"), number("loc_start").alias("loc_start"), number("loc_end").alias("loc_end"), "num_mark", number("cnlr_median").alias("cnlr_median"), number("tcn").alias("tcn"), number("lcn").alias("lcn"), "loaded_at", "row_id").dropna(subset=["facets_id", "chrom", "loc_start"])
-    first = Window.partitionBy("facets_id", "chrom", "loc_start").orderBy(F.col("loaded_at").asc_nulls_first(), "row_id")
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "loaded_at", "row_id")
+    # An aggregate, not a window: copies are reduced before the shuffle, however many there are of one segment.
+    first = rows.groupBy("facets_id", "chrom", "loc_start").agg(F.min_by(F.struct(*values), F.struct("loaded_at", "row_id")).alias("_r"))
+    return first.select("_r.sample_id", "facets_id", "chrom", "loc_start", *[f"_r.{v}" for v in values if v != "sample_id"])
 
 
 def longest_run(states: Column, k: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segscan.functions.text import bare_chrom, sample_key
@@ -30,11 +30,12 @@ def seg_footprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = _segments(spark, d)
-    more = segments.segment_features(rows).select(*KEY, F.col("loh_het_interleave").alias("interleave"))
-    marks = rows.groupBy(*KEY).agg(F.sum("num_mark").alias("marks"), F.min(sample_key("sample_id")).alias("sample"))
+    along = Window.partitionBy(*KEY).orderBy("loc_start", "loc_end")
+    rows = _segments(spark, d).withColumn("_loh", F.coalesce(F.col("lcn") == 0, F.lit(False)))
+    rows = rows.withColumn("_mixed", F.lag("_loh").over(along) != F.col("_loh"))
+    foot = footprint(rows, more={"interleave": F.count_if("_mixed"), "marks": F.sum("num_mark"), "sample": F.min(sample_key("sample_id"))})
     probes = table(spark, d, "cp_features").filter((F.col("pen_const") == PENALTY) & F.col("cp_n_probes").isNotNull()).groupBy(sample_key("sample_id").alias("sample"), bare_chrom("chrom").alias("chrom")).agg(F.min_by(F.struct("cp_osc_confidence", "cp_within_dispersion"), F.struct("file_id", "line_no")).alias("_p"))
-    all_ = footprint(rows).join(more, list(KEY)).join(marks, list(KEY)).join(probes, ["sample", "chrom"], "left").withColumns({"confidence": F.col("_p.cp_osc_confidence"), "noise": F.col("_p.cp_within_dispersion")})
+    all_ = foot.join(probes, ["sample", "chrom"], "left").withColumns({"confidence": F.col("_p.cp_osc_confidence"), "noise": F.col("_p.cp_within_dispersion")})
     return all_.withColumn("ctx_score", scores.evidence(F.col("osc_chain"), F.col("interleave"), F.col("marks"), "product")).withColumn("ctx_suppress", scores.suppressed(F.col("ctx_score"), F.col("confidence")))
 
 
