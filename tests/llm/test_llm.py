@@ -145,3 +145,19 @@ def test_levels_of_nothing(spark):
 def test_every_query_runs(spark, small):
     for name, q in queries.QUERIES.items():
         assert q(spark, small).count() >= 0, name
+
+
+def test_word_hashes_are_those_of_words():
+    from segscan.llm.words import word_hashes, words
+
+    rng = random.Random(9)
+    marks = ["<b>", "</p>", "&amp;", "&lt;i&gt;", "&#233;", "&amp", "<", ">", "\n(p. 3)\n", "(p. 4)", "\x01", "\u00ad", "\u200b", "\u0301", "\ufb01", "Stra\u00dfe", "STRASSE", "\u00c9t\u00e9", "e\u0301", "\u0130", "\u03a3\u03c2", "_x_", "12", "\u00bd", "\u4e2d\u6587", "\U0001f600", " ", " ", "-", "word", "Word"]
+    texts = [None, "", " ", "<", "a", *["".join(rng.choice(marks) for _ in range(rng.randint(1, 30))) for _ in range(500)], "a<b", "c>d", "(p. 1)"]
+    hashes, n = word_hashes(texts)
+    each = [words(t) for t in texts]
+    assert n.tolist() == [len(w) for w in each]
+    by_word: dict[str, int] = {}
+    for w, h in zip([w for ws in each for w in ws], hashes.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    assert word_hashes([])[1].tolist() == [] and word_hashes([None])[1].tolist() == [0]
