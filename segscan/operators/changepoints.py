@@ -1,10 +1,12 @@
-"""Changepoints of probe signals: penalised least squares per group, in Arrow-fed pandas groups."""
+"""Changepoints of probe signals: penalised least squares per group, many groups to a batch."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Probes of one chromosome that one group holds at most; longer ones are an error, not a silent cut.
@@ -48,20 +50,37 @@ def probe_segments(probes: DataFrame, key: list[str], position: str, value: str,
     """
     schema = ", ".join(f"{k} {probes.schema[k].dataType.simpleString()}" for k in key) + ", seg int, n_probes long, first double, last double, level double"
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_PROBES:
-            raise ValueError(f"{len(pdf)} probes in one group")
-        pdf = pdf.sort_values(["_at", "_x"])
-        x, at = pdf["_x"].to_numpy(), pdf["_at"].to_numpy()
+    def cut(x: np.ndarray) -> list[int]:
+        if len(x) > MOST_PROBES:
+            raise ValueError(f"{len(x)} probes in one group")
         d = np.abs(np.diff(x))
         noise = max((1.4826 * float(np.median(d)) / 2**0.5) ** 2 if len(d) else 0.0, 1e-4)
-        ends = breakpoints(x, penalty * noise * np.log(max(len(x), 2)))
-        rows = [(i, e - b, at[b], at[e - 1], float(np.median(x[b:e]))) for i, (b, e) in enumerate(zip([0, *ends], ends))]
-        out = pd.DataFrame(rows, columns=["seg", "n_probes", "first", "last", "level"])
-        for k in reversed(key):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+        return breakpoints(x, penalty * noise * np.log(max(len(x), 2)))
+
+    def whole(pdf: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+        """The segments of the groups that begin at ``begins``, the last of which ends with the frame."""
+        x, at = pdf["_x"].to_numpy(), pdf["_at"].to_numpy()
+        rows = []
+        for b, e in zip(begins.tolist(), [*begins[1:].tolist(), len(x)]):
+            ends = [b + i for i in cut(x[b:e])]
+            rows += [(b, i, hi - lo, at[lo], at[hi - 1], float(np.median(x[lo:hi]))) for i, (lo, hi) in enumerate(zip([b, *ends], ends))]
+        out = pd.DataFrame(rows, columns=["_b", "seg", "n_probes", "first", "last", "level"])
+        return pd.concat([pdf[key].iloc[out["_b"]].reset_index(drop=True), out.drop(columns="_b")], axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Many small groups share a batch; one that goes on in the next batch waits for its end."""
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            begins = np.flatnonzero(pdf["_new"].to_numpy())
+            if len(begins) > 1:
+                yield whole(pdf.iloc[: begins[-1]], begins[:-1])
+            rest = pdf.iloc[begins[-1] :] if len(begins) else pdf
+        if rest is not None and len(rest):
+            yield whole(rest.reset_index(drop=True), np.array([0]))
 
     x = F.col(value).cast("double")
     rows = probes.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & F.col(position).isNotNull())
-    return rows.select(*key, F.col(position).cast("double").alias("_at"), x.alias("_x")).groupBy(*key).applyInPandas(cut, schema)
+    rows = rows.select(*key, F.col(position).cast("double").alias("_at"), x.alias("_x"))
+    new = F.row_number().over(Window.partitionBy(*key).orderBy("_at", "_x")) == 1
+    return rows.withColumn("_new", new).mapInPandas(run, schema)

@@ -9,6 +9,7 @@ from segscan.functions.text import bare_chrom, sample_key
 from segscan.operators import cohort, segments
 from segscan.operators.changepoints import probe_segments
 from segscan.operators.packed import unpack
+from segscan.plans.preparation import ORACLE as _PREPARATION
 from segscan.sources.tables import table
 
 
@@ -98,6 +99,9 @@ FROM f LEFT JOIN {_CHAIN.format(k=2)} USING (facets_id, chrom) LEFT JOIN {_CHAIN
     "merge_screen_calls": f"WITH {_SCREEN} SELECT chrom, count(*) AS relaxed, count(*) FILTER (n_oscil >= 7) AS strict FROM screen WHERE n_oscil >= 3 AND n_seg >= 5 GROUP BY ALL",
     "tcn_from_ratio": f"""WITH m AS (SELECT upper(trim(sample_id, {_BLANK})) AS k, purity, ploidy FROM manifest WHERE upper(trim(sample_id, {_BLANK})) NOT IN ('', 'NA') QUALIFY row_number() OVER (PARTITION BY upper(trim(sample_id, {_BLANK})) ORDER BY loaded_at DESC, row_id DESC) = 1)
 SELECT row_id, round(CASE WHEN purity > 0 THEN ((purity * ploidy + (1 - purity) * 2) * pow(2.0, CASE WHEN NOT isnan(cnlr_median) THEN cnlr_median END) - (1 - purity) * 2) / purity END, 6) AS tcn_estimate FROM cncf JOIN m ON m.k = upper(trim(sample_id, {_BLANK}))""",
+    "screen_against_labels": f"""WITH {_SCREEN}, p1 AS ({_PREPARATION["p1_found"]}), truth AS (SELECT DISTINCT c.facets_id, p.chrom_value AS chrom, true AS t FROM p1 p JOIN ctx_details c ON p.row_id = c.row_id WHERE p.src_table = 'ctx_details' AND c.facets_id IS NOT NULL),
+j AS (SELECT coalesce(n_oscil >= 3 AND n_seg >= 5, false) AS c, coalesce(t, false) AS t FROM screen LEFT JOIN truth USING (facets_id, chrom))
+SELECT count(*) FILTER (c AND t) AS tp, count(*) FILTER (c AND NOT t) AS fp, count(*) FILTER (NOT c AND t) AS fn, count(*) FILTER (NOT c AND NOT t) AS tn FROM j""",
     "within_sample_contrast": f"""WITH {_CLEAN}, c AS (SELECT facets_id, chrom, CAST(count(*) AS DOUBLE) AS n, sum(CAST(num_mark AS DOUBLE)) AS marks FROM s GROUP BY ALL)
 SELECT facets_id, chrom, round(n / nullif(median(n) OVER g, 0), 6) AS n_ratio, rank() OVER (PARTITION BY facets_id ORDER BY n DESC) AS n_rank, round(marks / nullif(median(marks) OVER g, 0), 6) AS marks_ratio,
        CASE WHEN marks IS NOT NULL THEN rank() OVER (PARTITION BY facets_id ORDER BY marks DESC NULLS LAST) END AS marks_rank FROM c WINDOW g AS (PARTITION BY facets_id)""",
