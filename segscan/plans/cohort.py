@@ -40,10 +40,23 @@ def tcn_from_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(latest, "key").select("row_id", F.round(segments.tcn_estimate(F.col("cnlr"), F.col("m.purity"), F.col("m.ploidy")), 6).alias("tcn_estimate"))
 
 
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return unpack(table(spark, d, "ctx_details").select("facets_id", "chr_ctx").filter("facets_id IS NOT NULL"), "chr_ctx", "chrom", "pos").select("facets_id", bare_chrom("chrom").alias("chrom"), F.lit(True).alias("truth")).distinct()
+
+
 def screen_against_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Calls of the merge screen against the chromosomes listed in chr_ctx, as counts of both kinds of agreement and error."""
-    truth = unpack(table(spark, d, "ctx_details").select("facets_id", "chr_ctx").filter("facets_id IS NOT NULL"), "chr_ctx", "chrom", "pos").select("facets_id", bare_chrom("chrom").alias("chrom"), F.lit(True).alias("truth")).distinct()
-    joined = merge_screen(spark, d).join(truth, ["facets_id", "chrom"], "left")
+    """Calls of the merge screen against the chromosomes listed in chr_ctx, as counts of both kinds of agreement and error.
+
+    Counts the screened chromosomes only, those with five segments or more; ``screen_against_all_labels`` counts every one.
+    """
+    joined = merge_screen(spark, d).join(_labels(spark, d), ["facets_id", "chrom"], "left")
+    return cohort.confusion(joined, (F.col("n_oscil") >= 3) & (F.col("n_seg") >= 5), F.col("truth"))
+
+
+def screen_against_all_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Like ``screen_against_labels`` over every chromosome that has segments or a label; one that was not screened is not called."""
+    on = ["facets_id", "chrom"]
+    joined = _segments(spark, d).select(*on).distinct().join(_labels(spark, d), on, "full").join(merge_screen(spark, d), on, "left")
     return cohort.confusion(joined, (F.col("n_oscil") >= 3) & (F.col("n_seg") >= 5), F.col("truth"))
 
 
@@ -66,7 +79,7 @@ def event_changepoints(spark: SparkSession, d: str) -> DataFrame:
     return probe_segments(probes, ["user_id", "chrom"], "event_id", "value")
 
 
-QUERIES = {q.__name__: q for q in (seg_clean, seg_features, merge_screen, merge_screen_calls, tcn_from_ratio, screen_against_labels, within_sample_contrast, survival_curves, ratio_sweep, event_changepoints)}
+QUERIES = {q.__name__: q for q in (seg_clean, seg_features, merge_screen, merge_screen_calls, tcn_from_ratio, screen_against_labels, screen_against_all_labels, within_sample_contrast, survival_curves, ratio_sweep, event_changepoints)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 _CLEAN = f"""
@@ -101,6 +114,10 @@ FROM f LEFT JOIN {_CHAIN.format(k=2)} USING (facets_id, chrom) LEFT JOIN {_CHAIN
 SELECT row_id, round(CASE WHEN purity > 0 THEN ((purity * ploidy + (1 - purity) * 2) * pow(2.0, CASE WHEN NOT isnan(cnlr_median) THEN cnlr_median END) - (1 - purity) * 2) / purity END, 6) AS tcn_estimate FROM cncf JOIN m ON m.k = upper(trim(sample_id, {_BLANK}))""",
     "screen_against_labels": f"""WITH {_SCREEN}, p1 AS ({_PREPARATION["p1_found"]}), truth AS (SELECT DISTINCT c.facets_id, p.chrom_value AS chrom, true AS t FROM p1 p JOIN ctx_details c ON p.row_id = c.row_id WHERE p.src_table = 'ctx_details' AND c.facets_id IS NOT NULL),
 j AS (SELECT coalesce(n_oscil >= 3 AND n_seg >= 5, false) AS c, coalesce(t, false) AS t FROM screen LEFT JOIN truth USING (facets_id, chrom))
+SELECT count(*) FILTER (c AND t) AS tp, count(*) FILTER (c AND NOT t) AS fp, count(*) FILTER (NOT c AND t) AS fn, count(*) FILTER (NOT c AND NOT t) AS tn FROM j""",
+    "screen_against_all_labels": f"""WITH {_SCREEN}, p1 AS ({_PREPARATION["p1_found"]}), truth AS (SELECT DISTINCT c.facets_id, p.chrom_value AS chrom, true AS t FROM p1 p JOIN ctx_details c ON p.row_id = c.row_id WHERE p.src_table = 'ctx_details' AND c.facets_id IS NOT NULL),
+every AS (SELECT DISTINCT facets_id, chrom FROM s),
+j AS (SELECT coalesce(n_oscil >= 3 AND n_seg >= 5, false) AS c, coalesce(t, false) AS t FROM every FULL JOIN truth USING (facets_id, chrom) LEFT JOIN screen USING (facets_id, chrom))
 SELECT count(*) FILTER (c AND t) AS tp, count(*) FILTER (c AND NOT t) AS fp, count(*) FILTER (NOT c AND t) AS fn, count(*) FILTER (NOT c AND NOT t) AS tn FROM j""",
     "within_sample_contrast": f"""WITH {_CLEAN}, c AS (SELECT facets_id, chrom, CAST(count(*) AS DOUBLE) AS n, sum(CAST(num_mark AS DOUBLE)) AS marks FROM s GROUP BY ALL)
 SELECT facets_id, chrom, round(n / nullif(median(n) OVER g, 0), 6) AS n_ratio, rank() OVER (PARTITION BY facets_id ORDER BY n DESC) AS n_rank, round(marks / nullif(median(marks) OVER g, 0), 6) AS marks_ratio,

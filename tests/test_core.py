@@ -126,3 +126,11 @@ def test_breakpoints_are_optimal(spark):
     df = spark.createDataFrame([("k", float(i), 0.0 if i < 5 else 1.0) for i in range(10)] + [("k", None, 1.0), ("k", 3.0, float("nan"))], "k string, p double, x double")
     assert [(r.seg, r.n_probes, r.level) for r in probe_segments(df, ["k"], "p", "x").orderBy("seg").collect()] == [(0, 5, 0.0), (1, 5, 1.0)]
     assert probe_segments(df.limit(0), ["k"], "p", "x").count() == 0
+
+
+def test_labels_off_the_screen_are_missed(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [("f", "f", c, 10 * i, 10 * i + 9, 5, 0.0, 2.0 - i % 2, 1.0, at, i) for c, n in (("1", 8), ("2", 3), ("3", 2)) for i in range(n)]
+    spark.createDataFrame(rows, "sample_id string, facets_id string, chrom string, loc_start int, loc_end int, num_mark int, cnlr_median double, tcn double, lcn double, loaded_at timestamp, row_id long").write.parquet(f"{tmp_path}/cncf.parquet")
+    spark.createDataFrame([("f", "1, chr2, 9"), ("g", "4"), (None, "1")], "facets_id string, chr_ctx string").write.parquet(f"{tmp_path}/ctx_details.parquet")
+    assert cohort.screen_against_all_labels(spark, str(tmp_path)).collect() == [(1, 0, 3, 1)]
