@@ -8,6 +8,7 @@ can't become best any more is dropped (the rule of PELT). All entities of a batc
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +21,15 @@ from pyspark.sql import types as T
 
 #: An entity with more events than this, and than a thousandth of all, is cut into ranges that are stitched again.
 HOT_EVENTS = 200_000
-#: Weighted events that are segmented at once; see ``segment``.
+#: Beyond so many distinct neighbours of one entity, those before a certain boundary are segmented at once.
 MOST_TOKENS = 4096
 
 
-def segment(values: np.ndarray, weights: np.ndarray, block: np.ndarray, penalty: float) -> np.ndarray:
+def segment(values: np.ndarray, weights: np.ndarray, block: np.ndarray, penalty: float, ends: list | None = None) -> np.ndarray:
     """True at each event that begins a run; ``block`` numbers the sequences, which stand one after another.
 
-    Of equally good segmentations the one whose last runs are longest is taken.
+    Of equally good segmentations the one whose last runs are longest is taken. ``ends`` is for one sequence of two events or
+    more: it gets the starts of a last run that remain and, for each number of events, the best start of the last run.
     """
     n = len(block)
     if n == 0:
@@ -69,8 +71,11 @@ def segment(values: np.ndarray, weights: np.ndarray, block: np.ndarray, penalty:
         keep = upto <= per + penalty + 1e-9
         cand_seq = np.concatenate((cand_seq[keep], np.arange(alive)))
         cand_pos = np.concatenate((cand_pos[keep], np.full(alive, j)))
-        order = np.lexsort((cand_pos, cand_seq))
-        cand_seq, cand_pos = cand_seq[order], cand_pos[order]
+        if alive > 1:
+            order = np.lexsort((cand_pos, cand_seq))
+            cand_seq, cand_pos = cand_seq[order], cand_pos[order]
+    if ends is not None:
+        ends += [cand_pos, came[at[0] :]]
     pos = size.copy()
     seq = np.arange(len(begin))
     while len(seq):
@@ -80,52 +85,88 @@ def segment(values: np.ndarray, weights: np.ndarray, block: np.ndarray, penalty:
     return starts
 
 
-def _runs(table: pa.Table, entity: list[str], features: list[str], penalty: float) -> tuple[pa.Table, np.ndarray]:
-    """Runs of events sorted by entity and start, and the first row of each."""
-    n = table.num_rows
-    new = np.zeros(n, bool)
-    new[0] = True
+def _fresh(table: pa.Table, entity: list[str]) -> np.ndarray:
+    """True at each row whose entity is not that of the row before."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
     for c in entity:
         x = table.column(c).combine_chunks()
         new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
-    start = table.column("_start").to_numpy()
-    again = np.concatenate(([False], ~new[1:] & (start[1:] == start[:-1])))  # delivered twice
-    if again.any():
-        keep = ~again
-        table, new, start = table.filter(pa.array(keep)), new[keep], start[keep]
-        n = len(start)
+    return new
+
+
+def _values(table: pa.Table, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features, and where one of them is missing."""
     values = np.column_stack([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features])
-    void = np.isnan(values).any(axis=1)
-    forced = new | void | np.concatenate(([False], void[:-1]))
+    return values, np.isnan(values).any(axis=1)
+
+
+def _tokens(table: pa.Table, entity: list[str], features: list[str]) -> pa.Table:
+    """Identical neighbours of one entity as one row, with their number in ``_n``; missing ones stay apart."""
+    values, void = _values(table, features)
+    new = _fresh(table, entity) | void
+    new[1:] |= void[:-1] | (values[1:] != values[:-1]).any(axis=1)
+    first = np.flatnonzero(new)
+    if len(first) == table.num_rows:
+        return table
+    last = np.concatenate((first[1:], [table.num_rows])) - 1
+    changed = {"_end": table.column("_end").take(pa.array(last)), "_n": pa.array(np.add.reduceat(table.column("_n").to_numpy(), first))}
+    head = table.take(pa.array(first))
+    return pa.table([changed.get(c, head.column(c)) for c in table.schema.names], schema=table.schema)
+
+
+def _runs(table: pa.Table, entity: list[str], features: list[str], penalty: float) -> pa.Table:
+    """Runs of the tokens, which are sorted by entity and start."""
+    values, void = _values(table, features)
+    forced = _fresh(table, entity) | void | np.concatenate(([False], void[:-1]))
     values = np.where(void[:, None], 0.0, values)
-    token = forced | np.concatenate(([True], (values[1:] != values[:-1]).any(axis=1)))
-    first = np.flatnonzero(token)
-    weight = np.diff(np.concatenate((first, [n])))
-    begins = first[segment(values[first], weight.astype(float), np.cumsum(forced)[first], penalty)]
-    count = np.diff(np.concatenate((begins, [n])))
-    last = begins + count - 1
-    sums = [np.add.reduceat(values[:, i], begins) for i in range(len(features))]
-    square = np.add.reduceat((values**2).sum(axis=1), begins)
+    weight = table.column("_n").to_numpy()
+    begins = np.flatnonzero(segment(values, weight.astype(float), np.cumsum(forced), penalty))
+    last = np.concatenate((begins[1:], [table.num_rows])) - 1
+    sums = [np.add.reduceat(values[:, i] * weight, begins) for i in range(len(features))]
+    square = np.add.reduceat((values**2).sum(axis=1) * weight, begins)
     head = table.take(pa.array(begins))
-    out = {**{c: head.column(c) for c in entity}, "run_start": head.column("_start"), "run_end": table.column("_end").take(pa.array(last)), "n_events": pa.array(count.astype(np.int64)), "missing": pa.array(void[begins])}
+    out = {**{c: head.column(c) for c in entity}, "run_start": head.column("_start"), "run_end": table.column("_end").take(pa.array(last)), "n_events": pa.array(np.add.reduceat(weight, begins)), "missing": pa.array(void[begins])}
     out |= {f"sum_{c}": pa.array(x) for c, x in zip(features, sums)} | {"sum_squares": pa.array(square)}
-    return pa.table(out), begins
+    return pa.table(out)
 
 
 def _far_cut(table: pa.Table, features: list[str], penalty: float) -> int:
-    """The last row before which every optimal segmentation has a boundary, or 0 if none is known.
+    """The last token before which every optimal segmentation has a boundary, or 0 if none is known.
 
-    A run that holds two neighbours whose squared distance exceeds six penalties costs more than the same events
-    with both taken out as runs of their own, so such neighbours are never in one run.
+    Two neighbours, both taken out of a run that holds them, become runs of their own at three boundaries at most. Where
+    the pair alone costs more than these, it is never in one run; more events in either token only add to that cost.
     """
-    values = np.column_stack([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features])
-    void = np.isnan(values).any(axis=1)
-    far = ((values[1:] - values[:-1]) ** 2).sum(axis=1) > 6 * penalty
+    values, void = _values(table, features)
+    w = table.column("_n").to_numpy().astype(float)
+    far = w[1:] * w[:-1] / (w[1:] + w[:-1]) * ((values[1:] - values[:-1]) ** 2).sum(axis=1) > 3 * penalty
     hit = np.flatnonzero(far | void[1:] | void[:-1])
     return int(hit[-1]) + 1 if len(hit) else 0
 
 
-def collapse_runs(events: DataFrame, entity: list[str], start: str, end: str, features: list[str], penalty: float, tie: list[str] | None = None, hot_events: int = HOT_EVENTS) -> DataFrame:
+def _settled_cut(table: pa.Table, features: list[str], penalty: float) -> int:
+    """The last token before which there is a boundary whatever events follow the table, or 0 if there is none.
+
+    Every start that can still become best leads back through the best starts before it; a start that all of them lead
+    back to is settled. The last token may still grow and is left aside.
+    """
+    values, _ = _values(table.slice(0, table.num_rows - 1), features)
+    weight = table.column("_n").to_numpy()[:-1].astype(float)
+    ends: list = []
+    segment(values, weight, np.zeros(len(weight), np.int64), penalty, ends)
+    starts, came = ends
+    open_ = {-int(x) for x in starts}
+    heap = list(open_)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        back = -int(came[-heapq.heappop(heap)])
+        if back not in open_:
+            open_.add(back)
+            heapq.heappush(heap, back)
+    return -heap[0]
+
+
+def collapse_runs(events: DataFrame, entity: list[str], start: str, end: str, features: list[str], penalty: float, tie: list[str] | None = None, hot_events: int = HOT_EVENTS, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """One row per run: the entity's columns, ``run_start``, ``run_end``, ``n_events``, ``duration``, ``missing`` and the means of the features.
 
     Events of an entity are ordered by ``start``; of several with one start the first by ``tie`` counts. An event
@@ -135,8 +176,8 @@ def collapse_runs(events: DataFrame, entity: list[str], start: str, end: str, fe
     run that holds c changes costs at least c/4 more than its parts. Larger penalties join near-identical ones.
 
     Entities are hashed to tasks. Those with too many events (a bounded list) are cut into ranges of start; runs at
-    the edges of ranges are stitched where that lowers the cost. Beyond ``MOST_TOKENS`` distinct neighbours a task
-    segments what lies before the last certain boundary; where there is none, it cuts there and stitches likewise.
+    the edges of ranges are stitched where that lowers the cost. Beyond ``most_tokens`` distinct neighbours a task
+    segments what lies before the last certain boundary; where there is none, it holds them until there is one.
     """
     number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features}
     tie = tie or []
@@ -154,6 +195,8 @@ def collapse_runs(events: DataFrame, entity: list[str], start: str, end: str, fe
         task = TaskContext.get().partitionId()
         keep = [*entity, "_start", "_end", *names]
         rest: pa.Table | None = None
+        before: pa.Table | None = None  # the last event, as it may be delivered again
+        patience = 16 * most_tokens
         held: pa.Table | None = None  # the last runs so far: they may turn out to be at the edge
 
         def tell(runs: pa.Table, edge_first: bool, edge_last: bool) -> pa.Table:
@@ -168,7 +211,7 @@ def collapse_runs(events: DataFrame, entity: list[str], start: str, end: str, fe
 
         def emit(table: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, is_first
-            runs, _ = _runs(table, entity, names, penalty)
+            runs = _runs(table, entity, names, penalty)
             if held is not None:
                 yield from tell(held, is_first, False).to_batches()
                 is_first = False
@@ -180,15 +223,24 @@ def collapse_runs(events: DataFrame, entity: list[str], start: str, end: str, fe
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch]).select(keep)
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            last = [table.column(c)[-1].as_py() for c in entity]
-            same = np.ones(table.num_rows, bool)
-            for c, v in zip(entity, last):
-                same &= pc.equal(table.column(c), pa.scalar(v, table.schema.field(c).type)).to_numpy()
-            cut = int(np.argmax(same))
-            if table.num_rows - cut > MOST_TOKENS:
+            table = pa.concat_tables([before, table]) if before is not None else table
+            at = table.column("_start").to_numpy()
+            once = _fresh(table, entity) | np.concatenate(([True], at[1:] != at[:-1]))
+            once[:1] = before is None
+            before = table.slice(table.num_rows - 1)
+            table = table.filter(pa.array(once))
+            if not table.num_rows:
+                continue
+            table = table.append_column("_n", pa.array(np.ones(table.num_rows, np.int64)))
+            table = _tokens(pa.concat_tables([rest, table]) if rest is not None else table, entity, names)
+            cut = int(np.flatnonzero(_fresh(table, entity))[-1])
+            if table.num_rows - cut > most_tokens:
                 tail = table.slice(cut)
-                cut += _far_cut(tail, names, penalty) or (tail.num_rows - 1 if tail.num_rows > 16 * MOST_TOKENS else 0)
+                found = _far_cut(tail, names, penalty)
+                if not found and tail.num_rows > patience:
+                    found = _settled_cut(tail, names, penalty)
+                    patience = 16 * most_tokens if found else 2 * tail.num_rows
+                cut += found
             if cut:
                 yield from emit(table.slice(0, cut), False)
             rest = table.slice(cut)

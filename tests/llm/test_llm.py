@@ -52,6 +52,36 @@ def test_runs_of_nothing(spark):
     assert runs.collapse_runs(_events(spark).limit(0), ["id"], "s", "e", ["t", "l"], 0.2).count() == 0
 
 
+def test_a_long_run_stays_whole(spark):
+    rows = spark.range(150_000).selectExpr("'a' AS id", "double(id) AS s", "id + 0.5D AS e", "2.0D AS t", "1.0D AS l")
+    got = runs.collapse_runs(rows, ["id"], "s", "e", ["t", "l"], 0.2).collect()
+    assert [(r.run_start, r.run_end, r.n_events, r.mean_t) for r in got] == [(0.0, 149_999.5, 150_000, 2.0)]
+
+
+def test_a_late_second_delivery_is_no_boundary(spark):
+    rows = spark.range(5000).selectExpr("'a' AS id", "double(id) AS s", "id + 0.5D AS e", "2.0D AS t", "1.0D AS l", "0 AS n")
+    again = rows.filter("s = 4998").selectExpr("id", "s", "e", "9.0D AS t", "l", "1 AS n")
+    got = runs.collapse_runs(rows.union(again), ["id"], "s", "e", ["t", "l"], 0.2, ["n"]).collect()
+    assert [(r.run_start, r.run_end, r.n_events) for r in got] == [(0.0, 4999.5, 5000)]
+
+
+@pytest.mark.parametrize("penalty", [0.2, 1.5, 4.0])
+def test_no_cut_but_the_optimal_ones(spark, penalty):
+    rng = np.random.default_rng(8)
+    v = np.cumsum(rng.integers(-1, 2, (600, 2)) * (rng.random((600, 1)) < 0.4), axis=0).astype(float)
+    df = spark.createDataFrame([("a", float(i), i + 0.5, *map(float, x)) for i, x in enumerate(v)], "id string, s double, e double, t double, l double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(r.run_start for r in runs.collapse_runs(df, ["id"], "s", "e", ["t", "l"], penalty, most_tokens=1).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    token = np.concatenate(([True], (v[1:] != v[:-1]).any(axis=1)))
+    first = np.flatnonzero(token)
+    weight = np.diff(np.concatenate((first, [len(v)]))).astype(float)
+    assert got == first[runs.segment(v[first], weight, np.zeros(len(first), int), penalty)].tolist()
+
+
 def test_containers_lose_and_split_nothing(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 5000)], "doc_id long, text string"))
     got = containers.fill_containers(docs, capacity=512, block_containers=20).toPandas()
