@@ -9,15 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Probes of one chromosome that one group holds at most; longer ones are an error, not a silent cut.
-MOST_PROBES = 2_000_000
+
+def _live(starts: np.ndarray, cost: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Those of the rising ``starts`` that are best, or the earliest of the best, for some level of the segment they begin.
+
+    For one level, a later start wins or loses against an earlier one by the same amount whatever follows: it loses in a
+    range around the mean between the two. A start whose levels are all lost to others can never be needed again.
+    """
+    i, j = starts[:, None], starts[None, :]
+    later, n = j > i, np.where(j > i, j - i, 1)
+    mean = (s1[j] - s1[i]) / n
+    room = cost[j] - cost[i] - (s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / n)
+    wide = np.where(room >= -1e-9, np.sqrt(np.maximum(room + 1e-9, 0.0) / n), -np.inf)
+    lo, hi = np.where(later, mean - wide, -np.inf).max(axis=1), np.where(later, mean + wide, np.inf).min(axis=1)
+    radius = np.sqrt(np.maximum(room, 0.0) / n)
+    lost = later & (room >= 0) & (lo[None, :] >= mean - radius) & (hi[None, :] <= mean + radius)
+    return starts[(lo <= hi) & ~lost.any(axis=0)]
 
 
 def breakpoints(x: np.ndarray, penalty: float, least: int = 5) -> list[int]:
     """Ends of the segments that minimise squared error plus ``penalty`` per boundary, each of ``least`` values or more.
 
-    Starts that can't win any more are dropped, so the work grows almost in line with the number of values. Of equal
-    costs the earliest start counts. Fewer than ten values are one segment.
+    Starts that can't win any more are dropped, by cost at each value and by level when many are left, so the work grows
+    almost in line with the number of values, with or without boundaries. Of equal costs the earliest start counts. Fewer than ten values are one segment.
     """
     n = len(x)
     if n < 10:
@@ -26,7 +40,7 @@ def breakpoints(x: np.ndarray, penalty: float, least: int = 5) -> list[int]:
     cost = np.full(n + 1, np.inf)
     cost[0] = -penalty
     came = np.zeros(n + 1, np.int64)
-    starts = np.array([0])
+    starts, many = np.array([0]), 64
     for b in range(least, n + 1):
         if b - least >= least:
             starts = np.append(starts, b - least)
@@ -35,6 +49,9 @@ def breakpoints(x: np.ndarray, penalty: float, least: int = 5) -> list[int]:
         i = int(np.argmin(total))
         cost[b], came[b] = total[i], starts[i]
         starts = starts[cost[starts] + sse <= cost[b] + 1e-9]
+        if len(starts) > many:
+            starts = _live(starts, cost, s1, s2)
+            many = max(64, 2 * len(starts))
     ends, b = [], n
     while b > 0:
         ends.append(b)
@@ -51,8 +68,6 @@ def probe_segments(probes: DataFrame, key: list[str], position: str, value: str,
     schema = ", ".join(f"{k} {probes.schema[k].dataType.simpleString()}" for k in key) + ", seg int, n_probes long, first double, last double, level double"
 
     def cut(x: np.ndarray) -> list[int]:
-        if len(x) > MOST_PROBES:
-            raise ValueError(f"{len(x)} probes in one group")
         d = np.abs(np.diff(x))
         noise = max((1.4826 * float(np.median(d)) / 2**0.5) ** 2 if len(d) else 0.0, 1e-4)
         return breakpoints(x, penalty * noise * np.log(max(len(x), 2)))
@@ -68,16 +83,19 @@ def probe_segments(probes: DataFrame, key: list[str], position: str, value: str,
         return pd.concat([pdf[key].iloc[out["_b"]].reset_index(drop=True), out.drop(columns="_b")], axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Many small groups share a batch; one that goes on in the next batch waits for its end."""
-        rest = None
+        """Many small groups share a batch; one that goes on in the next batch waits for its end, however many follow."""
+        parts: list[pd.DataFrame] = []
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            parts.append(pdf)
+            if not pdf["_new"].any():
+                continue
+            pdf = pd.concat(parts, ignore_index=True)
             begins = np.flatnonzero(pdf["_new"].to_numpy())
             if len(begins) > 1:
                 yield whole(pdf.iloc[: begins[-1]], begins[:-1])
-            rest = pdf.iloc[begins[-1] :] if len(begins) else pdf
-        if rest is not None and len(rest):
-            yield whole(rest.reset_index(drop=True), np.array([0]))
+            parts = [pdf.iloc[begins[-1] :]]
+        if parts:
+            yield whole(pd.concat(parts, ignore_index=True), np.array([0]))
 
     x = F.col(value).cast("double")
     rows = probes.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & F.col(position).isNotNull())

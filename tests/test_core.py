@@ -134,3 +134,20 @@ def test_labels_off_the_screen_are_missed(spark, tmp_path):
     spark.createDataFrame(rows, "sample_id string, facets_id string, chrom string, loc_start int, loc_end int, num_mark int, cnlr_median double, tcn double, lcn double, loaded_at timestamp, row_id long").write.parquet(f"{tmp_path}/cncf.parquet")
     spark.createDataFrame([("f", "1, chr2, 9"), ("g", "4"), (None, "1")], "facets_id string, chr_ctx string").write.parquet(f"{tmp_path}/ctx_details.parquet")
     assert cohort.screen_against_all_labels(spark, str(tmp_path)).collect() == [(1, 0, 3, 1)]
+
+
+def test_one_group_of_any_length(spark):
+    n = 2_000_001
+    df = spark.range(n).selectExpr("'k' AS k", "double(id) AS p", f"IF(id < {n // 2}, 0D, 1D) AS x")
+    assert [(r.seg, r.n_probes, r.level) for r in probe_segments(df, ["k"], "p", "x").orderBy("seg").collect()] == [(0, n // 2, 0.0), (1, n - n // 2, 1.0)]
+
+
+@pytest.mark.parametrize("step", [0.0, 1.0])
+def test_levels_drop_no_boundary(step):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 0.3, 600) + step * (np.arange(600) >= 300)
+    cost = [-1.5] + [np.inf] * 600
+    for b in range(5, 601):
+        cost[b] = min(cost[a] + x[a:b].var() * (b - a) + 1.5 for a in range(b - 4))
+    ends = breakpoints(x, 1.5)
+    assert abs(sum(x[a:b].var() * (b - a) + 1.5 for a, b in zip([0, *ends], ends)) - 1.5 - cost[600]) < 1e-6
