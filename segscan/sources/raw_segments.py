@@ -115,7 +115,7 @@ def parse_files(files: DataFrame, content: str = "content", with_lines: bool = T
             for at in range(0, whole.num_rows, _CHUNK):
                 batch = whole.slice(at, _CHUNK)
                 text = batch.column(batch.schema.get_field_index(content))
-                header = pc.struct_field(pc.extract_regex(pc.fill_null(text, ""), r"(?m)^\s*(?P<h>[^#\s][^\r\n]*)"), "h")
+                header = pc.struct_field(pc.extract_regex(pc.fill_null(text, ""), r"(?:^|[\r\n])\s*(?P<h>[^#\s][^\r\n]*)"), "h")
                 tabbed = pc.fill_null(pc.match_substring(header, "\t"), False)
                 for sep, mine in (("\t", tabbed), (";", pc.and_(pc.invert(tabbed), pc.is_valid(header)))):
                     if part := batch.filter(mine):

@@ -17,6 +17,7 @@ from segscan.operators.compaction import assign_groups, balance, first_copies
 from segscan.operators.packed import split_values, unpack
 from segscan.operators.references import find_orphans, orphan_report
 from segscan.plans import cohort, nomination, preparation
+from segscan.sources.raw_segments import parse_files
 
 QUERIES = {**preparation.QUERIES, **cohort.QUERIES, **nomination.QUERIES}
 ORACLE = {**preparation.ORACLE, **cohort.ORACLE, **nomination.ORACLE}
@@ -151,3 +152,11 @@ def test_levels_drop_no_boundary(step):
         cost[b] = min(cost[a] + x[a:b].var() * (b - a) + 1.5 for a in range(b - 4))
     ends = breakpoints(x, 1.5)
     assert abs(sum(x[a:b].var() * (b - a) + 1.5 for a, b in zip([0, *ends], ends)) - 1.5 - cost[600]) < 1e-6
+
+
+@pytest.mark.parametrize("end", ["\r", "\n", "\r\n"])
+@pytest.mark.parametrize("sep", ["\t", ";"])
+def test_header_after_a_comment(spark, end, sep):
+    text = end.join(["# a\tb;c", "", "  # d", f"id{sep}chrom", f"s{sep}1", ""])
+    files = spark.createDataFrame([(1, text), (2, end.join(["# only", ""]))], "file_id long, content string")
+    assert [(r.file_id, [f.field for f in r.fields], r.lines) for r in parse_files(files).collect()] == [(1, ["id", "chrom"], [["s", "1"]])]
