@@ -55,8 +55,14 @@ def _targets(names: list[str]) -> list[str]:
     taken: set[str] = set()
     out = []
     for name in names:
-        field = known.get(name.lower(), f"x:{name}")
-        out.append(f"x:{name}" if field in taken else field)
+        field = known.get(name.lower())
+        if field is None or field in taken:
+            key, k = name, 1
+            while key in TYPES or f"x:{key}" in taken:  # its key among the rescued values is its own
+                k += 1
+                key = f"{name} {k}"
+            field = f"x:{key}"
+        out.append(field)
         taken.add(field)
     return out
 
@@ -103,7 +109,7 @@ def parse_files(files: DataFrame, content: str = "content", with_lines: bool = T
 
     ``fields``: array of (field, name, kind), in the order of the header; ``field`` is the target's name or ``x:`` and
     the name as it stands, ``kind`` is text, decimal, integer or null (no value). If two columns claim one field the
-    first has it. ``lines``: array of arrays of bare values. Lines that begin with # and blank lines are left out;
+    first has it; repeated names, and the target's own, get a number in ``field``. ``lines``: array of arrays of bare values. Lines that begin with # and blank lines are left out;
     a file without header line (null or empty content) gives no row. Batches are parsed as Arrow arrays.
     """
     others = [c for c in files.columns if c != content]
@@ -165,14 +171,17 @@ def ingest(parsed: DataFrame) -> DataFrame:
     """The segments of all files in one table: file_id, line_no, the columns of the target, and ``rescued`` (JSON or null).
 
     The run's name gives ``facets_id``, and without the ending _hisens ``sample_id``; ``loaded_at`` is the delivery.
-    Files of one feed and number that came twice are read once (the lowest ``file_id``).
+    Files of one feed and number that came twice are read once (the lowest ``file_id``). Cells beyond the header that
+    aren't empty are rescued as " column 12", by their place in the line.
     """
     whole = parsed.filter(F.col("fields").isNotNull())
     copy = F.coalesce(F.concat_ws("/", "feed_code", F.col("seq_no").cast("string")), F.concat(F.lit("file "), F.col("file_id").cast("string")))
     copy = F.when(F.col("feed_code").isNull() | F.col("seq_no").isNull(), F.concat(F.lit("file "), F.col("file_id").cast("string"))).otherwise(copy)
     once = whole.groupBy(copy.alias("_copy")).agg(F.min_by(F.struct("file_id", "delivered_at", "fields", "lines"), "file_id").alias("_f")).select("_f.*")
     rows = once.select("file_id", "delivered_at", F.col("fields.field").alias("_names"), F.posexplode("lines").alias("_pos", "_v"))
-    cells = F.map_from_arrays("_names", F.transform(F.sequence(F.lit(0), F.size("_names") - 1), lambda i: F.get("_v", i)))
+    # Names from headers are trimmed, so none begins with a space as the keys of cells beyond the header do.
+    beyond = F.filter(F.transform("_v", lambda v, i: F.struct(F.concat(F.lit("x: column "), (i + 1).cast("string")).alias("k"), v.alias("v"), i.alias("i"))), lambda c: (c["i"] >= F.size("_names")) & (c["v"] != ""))
+    cells = F.map_from_arrays(F.concat("_names", beyond["k"]), F.concat(F.transform(F.sequence(F.lit(0), F.size("_names") - 1), lambda i: F.get("_v", i)), beyond["v"]))
     rows = rows.select("file_id", (F.col("_pos") + 1).alias("line_no"), "delivered_at", cells.alias("_m"))
     typed = rows.select("*", *[_cast(F.try_element_at("_m", F.lit(f)), f).alias(f"_t_{f}") for f in TYPES])
     lost = [F.when(F.col(f"_t_{f}").isNull() & ~F.lower(F.try_element_at("_m", F.lit(f))).isin(*ABSENT), F.lit(f)) for f in TYPES]

@@ -1,6 +1,7 @@
 """Core operators: against SQL on the small tables, against brute force, and on nulls, ties and empty input."""
 
 import glob
+import json
 import os
 import random
 from datetime import datetime
@@ -17,7 +18,7 @@ from segscan.operators.compaction import assign_groups, balance, first_copies
 from segscan.operators.packed import split_values, unpack
 from segscan.operators.references import find_orphans, orphan_report
 from segscan.plans import cohort, nomination, preparation
-from segscan.sources.raw_segments import parse_files
+from segscan.sources.raw_segments import ingest, parse_files, replay
 
 QUERIES = {**preparation.QUERIES, **cohort.QUERIES, **nomination.QUERIES}
 ORACLE = {**preparation.ORACLE, **cohort.ORACLE, **nomination.ORACLE}
@@ -160,3 +161,12 @@ def test_header_after_a_comment(spark, end, sep):
     text = end.join(["# a\tb;c", "", "  # d", f"id{sep}chrom", f"s{sep}1", ""])
     files = spark.createDataFrame([(1, text), (2, end.join(["# only", ""]))], "file_id long, content string")
     assert [(r.file_id, [f.field for f in r.fields], r.lines) for r in parse_files(files).collect()] == [(1, ["id", "chrom"], [["s", "1"]])]
+
+
+def test_surplus_cells_and_repeated_names_are_rescued(spark):
+    text = "id\tchrom\ttcn.em\ttcn\tnote\tnote\nr\t1\tbad\t3\ta\tb\tc\t\td\nr\t2\t2\t\t\t\n"
+    files = spark.createDataFrame([(1, "f", 1, datetime(2024, 1, 1), text)], "file_id long, feed_code string, seq_no long, delivered_at timestamp, content string")
+    for rows in (ingest(parse_files(files)), replay(ingest(parse_files(files)))):
+        first, second = rows.orderBy("line_no").collect()
+        assert json.loads(first.rescued) == {"tcn": "bad", "tcn 2": "3", "note": "a", "note 2": "b", " column 7": "c", " column 9": "d"}
+        assert (first.tcn, second.tcn, json.loads(second.rescued)) == (None, 2.0, {"tcn 2": "", "note": "", "note 2": ""})
