@@ -30,27 +30,34 @@ def _live(starts: np.ndarray, cost: np.ndarray, s1: np.ndarray, s2: np.ndarray)
 def breakpoints(x: np.ndarray, penalty: float, least: int = 5) -> list[int]:
     """Ends of the segments that minimise squared error plus ``penalty`` per boundary, each of ``least`` values or more.
 
-    Starts that can't win any more are dropped, by cost at each value and by level when many are left, so the work grows
-    almost in line with the number of values, with or without boundaries. Of equal costs the earliest start counts. Fewer than ten values are one segment.
+    Starts that can't win any more are dropped, so the work grows almost in line with the number of values, with or without
+    boundaries: a start that loses against the best way to end at b is dropped once a segment may begin at b, that is
+    ``least`` values later; and when many are left, those that lose for every level of their segment. Of equal costs the
+    earliest start counts. Fewer than ``2 * least`` values are one segment.
     """
     n = len(x)
-    if n < 10:
+    if n < 2 * least:
         return [n]
     s1, s2 = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
     cost = np.full(n + 1, np.inf)
     cost[0] = -penalty
     came = np.zeros(n + 1, np.int64)
     starts, many = np.array([0]), 64
+    until = np.array([n + 1])  # the first end for which a start is not needed any more
     for b in range(least, n + 1):
         if b - least >= least:
-            starts = np.append(starts, b - least)
+            starts, until = np.append(starts, b - least), np.append(until, n + 1)
+        if until.min() <= b:
+            keep = until > b
+            starts, until = starts[keep], until[keep]
         sse = s2[b] - s2[starts] - (s1[b] - s1[starts]) ** 2 / (b - starts)
         total = cost[starts] + sse + penalty
         i = int(np.argmin(total))
         cost[b], came[b] = total[i], starts[i]
-        starts = starts[cost[starts] + sse <= cost[b] + 1e-9]
+        until[(cost[starts] + sse > cost[b] + 1e-9) & (until > b + least)] = b + least
         if len(starts) > many:
-            starts = _live(starts, cost, s1, s2)
+            left = _live(starts, cost, s1, s2)
+            starts, until = left, until[np.searchsorted(starts, left)]
             many = max(64, 2 * len(starts))
     ends, b = [], n
     while b > 0:

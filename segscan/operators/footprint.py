@@ -35,7 +35,7 @@ def footprint(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom")
 
     The chain skips segments without tcn, but counts those inside its bounds; without any tcn its spans are null and its
     counts 0. A segment is altered if its whole copy number (half to even) isn't the most frequent one, the lowest of
-    equally frequent; islands of no length aren't counted. State changes compare whole copies, null like a value.
+    equally frequent; islands of no length aren't counted. State changes compare pairs of whole copies; pairs with a null are one state.
     ``more``: other aggregates of the same groups, so that they need no scan and no join of their own.
     """
     more = more or {}
@@ -45,7 +45,8 @@ def footprint(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom")
     rows = rows.withColumn("_altered", F.coalesce(F.col("_v") != F.mode("_v", True).over(Window.partitionBy(*key)), F.lit(False)))
     # The value of the last segment before that has one, and whether this one begins a run of it.
     before = F.last("_v", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    same = F.coalesce((F.lag("_v").over(along).eqNullSafe(F.col("_v"))) & (F.lag("_w").over(along).eqNullSafe(F.col("_w"))), F.lit(False))
+    rows = rows.withColumn("_pair", F.when(F.col("_v").isNotNull() & F.col("_w").isNotNull(), F.struct("_v", "_w")))
+    same = F.lag("_pair").over(along).eqNullSafe(F.col("_pair"))
     rows = rows.withColumns({
         "_begins": F.col("_v").isNotNull() & ~F.coalesce(before == F.col("_v"), F.lit(False)),
         "_edge": F.col("_altered") & ~F.coalesce(F.lag("_altered").over(along), F.lit(False)),

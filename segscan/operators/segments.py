@@ -90,8 +90,10 @@ def segment_features(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "
 def merge_screen(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom"), least_raw: int = 5, least_merged: int = 3) -> DataFrame:
     """One row per chromosome with at least ``least_raw`` segments: neighbours of equal state merged, oscillations counted.
 
-    The base state is the lowest tcn that stands more than once after merging; ``n_oscil`` is one more than the number
-    of steps from another state to it. Fewer than ``least_merged`` merged segments: nulls.
+    ``basecn`` is the lowest tcn that stands more than once after merging; segments at or below it are base segments, and
+    ``n_oscil`` is one more than the number of steps from another segment to one of them. Fewer than ``least_merged``
+    merged segments: nulls. A segment without tcn is no base segment, but where the comparison is unknown (no tcn, or no
+    tcn that stands twice) ``n_seg_basecn`` counts it and ``length_seg_basecn`` is null.
     """
     group = Window.partitionBy(*key)
     along = group.orderBy("loc_start", "loc_end")
@@ -100,11 +102,12 @@ def merge_screen(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chro
     runs = rows.groupBy(*key, "_run").agg(F.first("tcn").alias("tcn"), F.min("loc_start").alias("loc_start"), F.max_by("loc_end", F.struct("loc_start", "loc_end")).alias("loc_end"))
     runs = runs.withColumn("_copies", F.count("tcn").over(Window.partitionBy(*key, "tcn"))).withColumn("basecn", F.min(F.when(F.col("_copies") > 1, F.col("tcn"))).over(group))
     by_run = group.orderBy("_run")
-    runs = runs.withColumn("_base", F.col("tcn") == F.col("basecn")).withColumn("_back", F.col("_base") & ~F.lag("_base").over(by_run))
+    low = F.col("tcn") <= F.col("basecn")
+    runs = runs.withColumns({"_low": F.coalesce(low, F.lit(True)), "_base": F.coalesce(low, F.lit(False)), "_open": low.isNull()}).withColumn("_back", F.col("_base") & ~F.lag("_base").over(by_run))
     length = F.col("loc_end") - F.col("loc_start")
     out = runs.groupBy(*key).agg(
         F.count("*").alias("n_seg"), (F.count_distinct("tcn") + F.max(F.col("tcn").isNull().cast("int"))).alias("n_tcn_state"), F.first("basecn").alias("basecn"), (F.count_if("_back") + 1).alias("n_oscil"),
-        F.count_if("_base").alias("n_seg_basecn"), F.sum(F.when(F.col("_base"), length)).alias("length_seg_basecn"), F.sum(length).alias("length_seg_total"),
+        F.count_if("_low").alias("n_seg_basecn"), F.when(~F.bool_or("_open"), F.sum(F.when(F.col("_base"), length))).alias("length_seg_basecn"), F.sum(length).alias("length_seg_total"),
     )
     names = ("basecn", "n_oscil", "n_seg_basecn", "length_seg_basecn", "length_seg_total")
     return out.withColumns({c: F.when(F.col("n_seg") >= least_merged, F.col(c)) for c in names})

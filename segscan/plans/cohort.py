@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segscan.functions.text import bare_chrom, sample_key
 from segscan.operators import cohort, segments
 from segscan.operators.changepoints import probe_segments
+from segscan.operators.joins import lookup
 from segscan.operators.packed import unpack
 from segscan.plans.preparation import ORACLE as _PREPARATION
 from segscan.sources.tables import table
@@ -37,7 +38,7 @@ def merge_screen_calls(spark: SparkSession, d: str) -> DataFrame:
 def tcn_from_ratio(spark: SparkSession, d: str) -> DataFrame:
     latest = table(spark, d, "manifest").withColumn("key", sample_key("sample_id")).filter("key IS NOT NULL").groupBy("key").agg(F.max_by(F.struct("purity", "ploidy"), F.struct("loaded_at", "row_id")).alias("m"))
     rows = table(spark, d, "cncf").select("row_id", sample_key("sample_id").alias("key"), segments.number("cnlr_median").alias("cnlr"))
-    return rows.join(latest, "key").select("row_id", F.round(segments.tcn_estimate(F.col("cnlr"), F.col("m.purity"), F.col("m.ploidy")), 6).alias("tcn_estimate"))
+    return lookup(rows, latest, ["key"], F.col("row_id")).select("row_id", F.round(segments.tcn_estimate(F.col("cnlr"), F.col("m.purity"), F.col("m.ploidy")), 6).alias("tcn_estimate"))
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -90,9 +91,9 @@ a AS (SELECT *, CASE WHEN tcn = lag(tcn) OVER w AND lcn = lag(lcn) OVER w THEN 0
 b AS (SELECT *, sum(new) OVER (PARTITION BY facets_id, chrom ORDER BY loc_start, loc_end) AS run FROM a),
 m AS (SELECT facets_id, chrom, run, min(tcn) AS tcn, min(loc_start) AS loc_start, arg_max(loc_end, loc_start) AS loc_end FROM b GROUP BY ALL),
 c AS (SELECT facets_id, chrom, min(tcn) AS basecn FROM (SELECT facets_id, chrom, tcn FROM m WHERE tcn IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL),
-e AS (SELECT m.*, basecn, tcn = basecn AS is_base FROM m LEFT JOIN c USING (facets_id, chrom)),
+e AS (SELECT m.*, basecn, coalesce(tcn <= basecn, false) AS is_base, tcn IS NULL OR basecn IS NULL AS is_open FROM m LEFT JOIN c USING (facets_id, chrom)),
 f AS (SELECT *, is_base AND NOT lag(is_base) OVER (PARTITION BY facets_id, chrom ORDER BY run) AS back FROM e),
-g AS (SELECT facets_id, chrom, count(*) AS n_seg, count(DISTINCT tcn) + max(CASE WHEN tcn IS NULL THEN 1 ELSE 0 END) AS n_tcn_state, min(basecn) AS b, 1 + count(*) FILTER (back) AS o, count(*) FILTER (is_base) AS nb, sum(loc_end - loc_start) FILTER (is_base) AS lb, sum(loc_end - loc_start) AS lt FROM f GROUP BY ALL),
+g AS (SELECT facets_id, chrom, count(*) AS n_seg, count(DISTINCT tcn) + max(CASE WHEN tcn IS NULL THEN 1 ELSE 0 END) AS n_tcn_state, min(basecn) AS b, 1 + count(*) FILTER (back) AS o, count(*) FILTER (is_base OR is_open) AS nb, CASE WHEN NOT bool_or(is_open) THEN sum(loc_end - loc_start) FILTER (is_base) END AS lb, sum(loc_end - loc_start) AS lt FROM f GROUP BY ALL),
 screen AS (SELECT facets_id, chrom, n_seg, n_tcn_state, CASE WHEN n_seg >= 3 THEN b END AS basecn, CASE WHEN n_seg >= 3 THEN o END AS n_oscil, CASE WHEN n_seg >= 3 THEN nb END AS n_seg_basecn, CASE WHEN n_seg >= 3 THEN lb END AS length_seg_basecn, CASE WHEN n_seg >= 3 THEN lt END AS length_seg_total FROM g)"""
 _CHAIN = """(SELECT facets_id, chrom, max(w) AS chain_k{k} FROM (SELECT x.facets_id, x.chrom, x.j AS lo, y.j AS hi, y.j - x.j + 1 AS w FROM col x JOIN col y ON x.facets_id = y.facets_id AND x.chrom = y.chrom AND y.j >= x.j JOIN col z ON z.facets_id = x.facets_id AND z.chrom = x.chrom AND z.j BETWEEN x.j AND y.j GROUP BY ALL HAVING count(DISTINCT z.v) <= {k}) GROUP BY ALL)"""
 
@@ -111,7 +112,7 @@ FROM f LEFT JOIN {_CHAIN.format(k=2)} USING (facets_id, chrom) LEFT JOIN {_CHAIN
     "merge_screen": f"WITH {_SCREEN} SELECT * FROM screen",
     "merge_screen_calls": f"WITH {_SCREEN} SELECT chrom, count(*) AS relaxed, count(*) FILTER (n_oscil >= 7) AS strict FROM screen WHERE n_oscil >= 3 AND n_seg >= 5 GROUP BY ALL",
     "tcn_from_ratio": f"""WITH m AS (SELECT upper(trim(sample_id, {_BLANK})) AS k, purity, ploidy FROM manifest WHERE upper(trim(sample_id, {_BLANK})) NOT IN ('', 'NA') QUALIFY row_number() OVER (PARTITION BY upper(trim(sample_id, {_BLANK})) ORDER BY loaded_at DESC, row_id DESC) = 1)
-SELECT row_id, round(CASE WHEN purity > 0 THEN ((purity * ploidy + (1 - purity) * 2) * pow(2.0, CASE WHEN NOT isnan(cnlr_median) THEN cnlr_median END) - (1 - purity) * 2) / purity END, 6) AS tcn_estimate FROM cncf JOIN m ON m.k = upper(trim(sample_id, {_BLANK}))""",
+SELECT row_id, round(CASE WHEN purity > 0 THEN ((purity * ploidy + (1 - purity) * 2) * pow(2.0, CASE WHEN NOT isnan(cnlr_median) THEN cnlr_median END) - (1 - purity) * 2) / purity END, 6) AS tcn_estimate FROM cncf LEFT JOIN m ON m.k = upper(trim(sample_id, {_BLANK}))""",
     "screen_against_labels": f"""WITH {_SCREEN}, p1 AS ({_PREPARATION["p1_found"]}), truth AS (SELECT DISTINCT c.facets_id, p.chrom_value AS chrom, true AS t FROM p1 p JOIN ctx_details c ON p.row_id = c.row_id WHERE p.src_table = 'ctx_details' AND c.facets_id IS NOT NULL),
 j AS (SELECT coalesce(n_oscil >= 3 AND n_seg >= 5, false) AS c, coalesce(t, false) AS t FROM screen LEFT JOIN truth USING (facets_id, chrom))
 SELECT count(*) FILTER (c AND t) AS tp, count(*) FILTER (c AND NOT t) AS fp, count(*) FILTER (NOT c AND t) AS fn, count(*) FILTER (NOT c AND NOT t) AS tn FROM j""",

@@ -64,7 +64,7 @@ def feature_screen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    called = scores.nominate(_with_truth(spark, d), "ctx_score", "noise")
+    called = scores.nominate(_with_truth(spark, d), "ctx_suppress", "noise")
     return cohort.entity_outcomes(called, "facets_id", F.col("nominated"), F.col("truth"))
 
 
@@ -97,7 +97,7 @@ QUERIES = {q.__name__: q for q in (seg_footprint, seg_scores, seg_nominations, s
 _SPAN = f"""{_CLEAN},
 i AS (SELECT *, row_number() OVER (PARTITION BY facets_id, chrom ORDER BY loc_start, loc_end) AS i, round_even(tcn, 0) AS v, round_even(lcn, 0) AS w, greatest(loc_end - loc_start, 0) AS len FROM s),
 mode_ AS (SELECT facets_id, chrom, v AS mode_v FROM (SELECT facets_id, chrom, v, count(*) AS c FROM i WHERE v IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY facets_id, chrom ORDER BY c DESC, v) = 1),
-al AS (SELECT i.*, coalesce(v <> mode_v, false) AS alt, i > 1 AND (lag(v) OVER q IS DISTINCT FROM v OR lag(w) OVER q IS DISTINCT FROM w) AS moved FROM i LEFT JOIN mode_ USING (facets_id, chrom) WINDOW q AS (PARTITION BY facets_id, chrom ORDER BY i)),
+al AS (SELECT i.*, coalesce(v <> mode_v, false) AS alt, i > 1 AND lag(CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN concat(v, '|', w) END) OVER q IS DISTINCT FROM CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN concat(v, '|', w) END AS moved FROM i LEFT JOIN mode_ USING (facets_id, chrom) WINDOW q AS (PARTITION BY facets_id, chrom ORDER BY i)),
 isl AS (SELECT facets_id, chrom, sum(len) AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY facets_id, chrom ORDER BY i) AS g FROM al WHERE alt) GROUP BY facets_id, chrom, g),
 isl2 AS (SELECT facets_id, chrom, count(*) FILTER (l > 0) AS islands, max(l) AS largest FROM isl GROUP BY ALL),
 base AS (SELECT facets_id, chrom, count(*) AS n_segments, max(loc_end) - min(loc_start) AS span, coalesce(sum(len), 0) AS total, coalesce(sum(len) FILTER (alt), 0) AS union_, coalesce(max(loc_end) FILTER (alt) - min(loc_start) FILTER (alt), 0) AS alt_span, coalesce(max(loc_start) FILTER (moved) - min(loc_start) FILTER (moved), 0) AS move_span, sum(num_mark) AS marks FROM al GROUP BY ALL),
@@ -134,7 +134,7 @@ p AS (SELECT feature, dir, o, count(*) FILTER (truth) AS p, count(*) AS c FROM h
 r AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS m, sum(p) OVER g AS np, sum(c) OVER g AS n FROM p WINDOW w AS (PARTITION BY feature, dir ORDER BY o), g AS (PARTITION BY feature, dir)),
 e AS (SELECT feature, dir, CAST(max(n) AS BIGINT) AS n, CAST(max(np) AS BIGINT) AS n_pos, sum(p / np * tp / m) AS ap, sum((c - p) * (tp - p / 2) / (np * (n - np))) AS auc FROM r WHERE n >= 20 AND np > 0 AND np < n GROUP BY ALL)
 SELECT feature, n, n_pos, round(ap, 6) AS average_precision, round(auc, 6) AS auroc FROM e QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(ap, 9) DESC, dir) = 1""",
-    "sample_outcomes": f"""WITH {_SCORED}, {_TRUTH}, n AS (SELECT facets_id, truth, score >= 0.35 AND osc_chain >= 5 AND NOT veto AND NOT weak AS called FROM st)
+    "sample_outcomes": f"""WITH {_SCORED}, {_TRUTH}, n AS (SELECT facets_id, truth, sup >= 0.35 AND osc_chain >= 5 AND NOT veto AND NOT weak AS called FROM st)
 SELECT facets_id, CASE WHEN bool_or(called AND truth) THEN 'recovered' WHEN bool_or(truth) THEN 'missed' WHEN bool_or(called) THEN 'false_positive' ELSE 'correct_negative' END AS outcome FROM n GROUP BY ALL""",
     "log_rank_tests": f"""WITH {_TIMES}, t AS (SELECT DISTINCT time FROM r WHERE ev), k AS (SELECT "group", t.time, count(*) FILTER (r.time >= t.time) AS g, count(*) FILTER (r.time = t.time AND ev) AS o FROM r, t WHERE r.time IS NOT NULL AND ev IS NOT NULL GROUP BY ALL),
 a AS (SELECT *, sum(g) OVER (PARTITION BY time) AS n, sum(o) OVER (PARTITION BY time) AS d FROM k),

@@ -15,10 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which every executor can read and write.
 
-    Only where the session names none, as in tests on one machine, a folder of this machine is used.
+    Only where the session names none and runs on this machine alone, as in tests, a folder of this machine is used;
+    on a cluster that is an error, for the executors could not read it. Who asks for a folder removes it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="segscan-")

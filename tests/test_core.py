@@ -69,6 +69,22 @@ def test_orphans(spark, hot):
     assert sum(r.n_rows for r in orphan_report(out).collect()) == 4
 
 
+@pytest.mark.parametrize("hot", [3, 40, 10_000])
+def test_orphans_of_keys_hot_on_both_sides(spark, hot):
+    rng = random.Random(11)
+    moment = lambda: datetime(2024, 1, rng.randint(1, 4), rng.randint(0, 1))
+    refs = [("t", i, "m", rng.choice("AAAAB"), moment() if rng.random() > 0.05 else None) for i in range(300)] + [("t", 900, "m", "none", moment())]
+    goals = [("m", rng.choice("AAAB"), moment(), None) for _ in range(2)] + [("m", "A", at := moment(), datetime(2024, 1, min(5, at.day + 1))) for _ in range(150)] + [("m", "B", datetime(2024, 1, 3), datetime(2024, 1, 4))] * 30
+    out = find_orphans(spark.createDataFrame(refs, "src_table string, row_id long, target string, key string, at timestamp"), spark.createDataFrame(goals, "target string, key string, since timestamp, until timestamp"), hot)
+    want = set()
+    for _, i, _, k, at in refs:
+        mine = [(a, b) for _, x, a, b in goals if x == k]
+        if at is None or not any(a <= at and (b is None or b > at) for a, b in mine):
+            want.add((i, "missing" if not mine else "late" if at is None or all(a > at for a, _ in mine) else "deleted"))
+    got = out.collect()
+    assert {(r.row_id, r.problem) for r in got} == want and len(got) == len(want) > 10
+
+
 def test_groups_are_balanced(spark):
     rng = random.Random(2)
     sizes = [rng.randint(1, 1000) for _ in range(500)]
@@ -108,6 +124,29 @@ def test_merge_screen_micro(spark):
         assert (r.n_oscil, r.basecn) == (n, base)
 
 
+def test_merge_screen_counts_segments_below_the_base(spark):
+    # By hand: 3 stands twice, 1 once, so 3 is the base and 1 lies below it. Steps up to a base segment from none: 4 to 3, 4 to 1.
+    rows = [("f", "1", 10.0 * i, 10.0 * i + 4, t, 1.0) for i, t in enumerate([3.0, 4.0, 3.0, 5.0, 1.0, 6.0])]
+    # Only 2 stands twice: the segment without a copy number leaves the length unknown, and is counted with the base segments.
+    rows += [("f", "2", 10.0 * i, 10.0 * i + 4, t, 1.0) for i, t in enumerate([2.0, 4.0, 2.0, None, 2.0])]
+    # Nothing stands twice: no base, one oscillation, all segments counted.
+    rows += [("f", "3", 10.0 * i, 10.0 * i + 4, float(i), 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "facets_id string, chrom string, loc_start double, loc_end double, tcn double, lcn double")
+    got = {r.chrom: (r.basecn, r.n_oscil, r.n_seg_basecn, r.length_seg_basecn, r.length_seg_total) for r in segments.merge_screen(df).collect()}
+    assert got == {"1": (3.0, 3, 3, 12.0, 24.0), "2": (2.0, 3, 4, None, 20.0), "3": (None, 1, 5, None, 20.0)}
+
+
+def test_lookup_beyond_the_broadcast(spark):
+    from segscan.operators.joins import lookup
+
+    rows = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), (None, 2)], "k string, i int")
+    keyed = spark.createDataFrame([("a", 1), ("c", 2), (None, 3)], "k string, v int")
+    for most in (0, 10):
+        got = lookup(rows, keyed, ["k"], F.col("i"), most=most).collect()
+        assert len(got) == 52 and sum(r.v == 1 for r in got) == 50 and sum(r.v is None for r in got) == 2
+        assert lookup(rows, keyed, ["k"], F.col("i"), "left_anti", most).count() == 2
+
+
 def test_survival_and_step_up(spark):
     km = stats.kaplan_meier(spark.createDataFrame([(1, 1, "g"), (2, 1, "g"), (2, 0, "g"), (3, 1, "g"), (None, 1, "g")], "t int, e int, g string"), "t", "e", "g")
     assert [round(r.survival, 6) for r in km.orderBy("time").collect()] == [0.75, 0.5, 0.0]
@@ -155,6 +194,24 @@ def test_levels_drop_no_boundary(step):
     assert abs(sum(x[a:b].var() * (b - a) + 1.5 for a, b in zip([0, *ends], ends)) - 1.5 - cost[600]) < 1e-6
 
 
+def test_breakpoints_of_many_signals():
+    rng = np.random.default_rng(12)
+    for _ in range(5000):
+        n = int(rng.integers(6, 45))
+        x = np.round(rng.normal(0, 1, n).cumsum() * rng.choice([0.2, 1.0]), 3)
+        pen, least = float(rng.choice([0.2, 1.0, 4.0])), int(rng.choice([2, 3, 5]))
+        s1, s2 = np.concatenate(([0.0], x.cumsum())), np.concatenate(([0.0], (x * x).cumsum()))
+        cost = np.full(n + 1, np.inf)
+        cost[0] = -pen
+        for b in range(least, n + 1):
+            a = np.arange(b - least + 1)
+            cost[b] = (cost[a] + s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (b - a) + pen).min()
+        ends = breakpoints(x, pen, least)
+        if n >= 2 * least:
+            got = sum(s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (b - a) + pen for a, b in zip([0, *ends], ends)) - pen
+            assert abs(got - cost[n]) < 1e-6 and min(np.diff([0, *ends])) >= least
+
+
 @pytest.mark.parametrize("end", ["\r", "\n", "\r\n"])
 @pytest.mark.parametrize("sep", ["\t", ";"])
 def test_header_after_a_comment(spark, end, sep):

@@ -39,12 +39,19 @@ def test_footprint_edges(spark):
     one = got["1"]
     # Two separate islands: the segment without a value is not altered; the chain skips it, but its bounds hold it.
     assert (one.osc_chain, one.osc_chain_n_segments, one.n_altered_islands, one.altered_union_mb, one.altered_span_mb) == (3, 6, 2, 2.0, 3.0)
-    assert one.state_change_span_mb == 3.0
+    assert one.state_change_span_mb == 0.0  # no segment has both copy numbers: all pairs are one state
     assert (got["2"].osc_chain, got["2"].osc_chain_n_segments, got["2"].osc_chain_span_mb) == (0, 0, None)
     assert (got["3"].chrom_seg_len_mb, got["3"].altered_union_frac) == (0.0, None)
     assert footprint(spark.createDataFrame([], SEGMENTS)).count() == 0
 
 
+def test_pairs_with_a_null_are_one_state(spark):
+    # By hand: (2,1), (2,-), (3,-), (-,1), (2,1): the three pairs with a null are one state, so the changes begin at 10 and 40.
+    pairs = [(2.0, 1.0), (2.0, None), (3.0, None), (None, 1.0), (2.0, 1.0)]
+    rows = [("f", "1", 10e6 * i, 10e6 * i + 5e6, t, l) for i, (t, l) in enumerate(pairs)]
+    assert footprint(spark.createDataFrame(rows, SEGMENTS)).first().state_change_span_mb == 30.0
+
+
 def test_scores_edges(spark):
     df = spark.createDataFrame([(6, 6, 10), (4, 3, 3), (None, None, None)], "c int, i int, m int")
     got = [tuple(r) for r in df.select(*[scores.evidence(F.col("c"), F.col("i"), F.col("m"), how) for how in ("sum", "product", "min", "noisy_and")]).collect()]
