@@ -2,10 +2,12 @@
 
 1. Files are given to output groups by longest-first scheduling with a least-loaded heap. Blocks of files, spread
    by hash, are scheduled side by side, so that no task sees the whole listing.
-2. Copies of a record, and records torn off while being written, are left out; the first copy stays.
+2. Copies of a record, and records torn off while being written, are left out; the first copy stays. Only digests and
+   places of records are shuffled for that; what stays is marked by a row of its own that meets its record in the group.
 3. Each group is streamed through pyarrow into one data file and one file of what was left out.
-4. A manifest that names the verified files is put in place by one rename. Files of lost or repeated tasks carry
-   another name and are never named in it.
+4. The written files are read back and compared with what went in, by row counts and sums of row hashes. Only then a
+   manifest that names them is written, under a new name, and a pointer to it put in place. Files of lost or repeated
+   tasks carry another name and are never named in it.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from segscan.operators.joins import BROADCAST_ROWS, lookup
+from segscan.sources.tables import checkpointed
+
 #: Raw bytes that one output file takes in, and files that one task schedules.
-TARGET_BYTES = 16 << 20
+TARGET_BYTES = 128 << 20
 BLOCK_FILES = 50_000
+#: Bytes that a record of a file without listing is taken for.
+RECORD_BYTES = 64
+# Stand for a missing file and line: after all others.
+_NO_FILE, _NO_LINE = (1 << 63) - 1, (1 << 31) - 1
 
 
 def balance(sizes: list[int], groups: int) -> list[int]:
@@ -65,113 +74,160 @@ def assign_groups(files: DataFrame, target_bytes: int = TARGET_BYTES, block_file
     return files.select("*", block).groupBy("block").applyInPandas(lambda key, pdf: schedule(key, pdf.drop(columns="block")), "file_id long, n_bytes long, n_records long, group_id long, n_parts long")
 
 
-def first_copies(records: DataFrame, identity: dict[str, Column], order: list[str]) -> DataFrame:
-    """The records to keep, whole rows: of equal ones the first by ``order``, and no torn row that a full one covers.
+def _file() -> Column:
+    return F.coalesce(F.col("file_id").cast("long"), F.lit(_NO_FILE))
 
-    ``identity``: name and normalised expression of the fields that make a record, in the order in which they are
-    written. Nulls agree with nulls. A torn row has a null in the last field; it is left out if some full row agrees
-    with it in every field that it has (one that has nothing agrees with all). Groups of copies are reduced before
-    the shuffle, so a record copied a billion times costs one row per task.
-    """
+
+def _digest(keys: list[str], mask: Column | int, within: int | None = None) -> Column:
+    """128 bits of the fields in ``keys`` that ``within`` has (all by default); ``mask`` says which are there, as hashes skip nulls."""
+    fields = [F.col(k) for i, k in enumerate(keys) if within is None or within >> i & 1]
+    mask = F.lit(mask) if isinstance(mask, int) else mask
+    return F.struct(mask.alias("m"), F.xxhash64(mask, *fields).alias("a"), F.xxhash64(F.lit(-1), *fields[::-1], mask).alias("b"))
+
+
+def _keyed(records: DataFrame, identity: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    """``records`` with their normalised fields, ``_d`` (digest) and ``_at`` (place: the lowest is the first written)."""
     keys = [f"_k_{n}" for n in identity]
     keyed = records.select("*", *[e.alias(k) for k, e in zip(keys, identity.values())])
-    pattern = sum((F.when(F.col(k).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)), F.lit(0))
-    patterns = sorted(r[0] for r in keyed.filter(F.col(keys[-1]).isNull()).select(pattern).distinct().collect())  # at most 2 ** (fields - 1)
-    best = keyed.groupBy(*keys).agg(F.min_by(F.struct(*records.columns), F.struct(*order)).alias("_row"))
-    if not patterns:
-        return best.select("_row.*")
+    mask = sum((F.when(F.col(k).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)), F.lit(0))
+    at = _file().cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.coalesce(F.col("line_no").cast("long"), F.lit(_NO_LINE)).cast("decimal(11,0)")
+    return keyed.withColumn("_d", _digest(keys, mask)).withColumn("_at", at.cast("decimal(31,0)")), keys
+
 
-    def digest(mask: int) -> Column:
-        """Of the fields in ``mask``; each field's number stands before it, for the hash skips nulls."""
-        fields = [x for i, k in enumerate(keys) if mask >> i & 1 for x in (F.lit(i), F.col(k))]
-        return F.struct(F.lit(mask).alias("m"), F.xxhash64(F.lit(mask), *fields).alias("a"), F.xxhash64(F.lit(-1), *fields[::-1]).alias("b"))
+def first_copies(records: DataFrame, identity: dict[str, Column]) -> DataFrame:
+    """``_d, _at, _file`` of the records to keep: of equal ones the first by file and line, and no torn row that a full one covers.
 
-    torn = best.filter(F.col(keys[-1]).isNull()).withColumn("_m", pattern)
-    own = F.coalesce(*[F.when(F.col("_m") == m, digest(m)) for m in patterns])
-    full = best.filter(F.col(keys[-1]).isNotNull())
-    covered = full.select(F.explode(F.array(*[digest(m) for m in patterns])).alias("_d")).distinct()
-    return full.select("_row.*").unionByName(torn.withColumn("_d", own).join(covered, "_d", "left_anti").select("_row.*"))
+    ``identity``: name and normalised expression of the fields that make a record, in the order in which they are
+    written. Nulls agree with nulls; a null file or line comes after all others. A torn row has a null in the last field;
+    it is left out if some full row agrees with it in every field that it has (one that has nothing agrees with all).
+    Copies are reduced before the shuffle, to one row of numbers per task, however many there are.
+    """
+    keyed, keys = _keyed(records, identity)
+    full_bit = 1 << (len(keys) - 1)
+    best = checkpointed(keyed.groupBy("_d.m", "_d.a", "_d.b").agg(F.min("_at").alias("_at"), F.min(_file()).alias("_file")))
+    kept = best.select(F.struct("m", "a", "b").alias("_d"), "_at", "_file")
+    torn = best.filter(F.col("m").bitwiseAND(full_bit) == 0)
+    patterns = sorted(r[0] for r in torn.select("m").distinct().collect())  # at most 2 ** (fields - 1)
+    if not patterns:
+        return kept
+    # Full rows stay where they are read if the torn ones are few enough to be broadcast; else their digests are joined by shuffle.
+    each = F.explode(F.array(*[_digest(keys, m, m) for m in patterns])).alias("_d")
+    covers = keyed.filter(F.col(keys[-1]).isNotNull()).select(each).select("_d.m", "_d.a", "_d.b")
+    few = torn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    covered = (covers.join(F.broadcast(torn.select("m", "a", "b")), ["m", "a", "b"], "left_semi") if few else covers).distinct()
+    whole = torn.select(F.struct("m", "a", "b").alias("_d"), "_at", "_file", "m", "a", "b").join(covered, ["m", "a", "b"], "left_anti").select("_d", "_at", "_file")
+    return kept.filter(F.col("_d.m").bitwiseAND(full_bit) != 0).unionByName(whole)
 
 
 def _writer(folder: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes rows sorted by group; a mark stands right before the record that it keeps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        open_group, out, n_in, n_kept = None, {}, 0, 0
+        open_group, out, marked = None, {}, False
         done: list[tuple] = []
+        totals = np.zeros((2, 2), np.int64)  # rows and sums of row hashes, kept and left out
 
         def close() -> None:
-            nonlocal out
             if open_group is not None:
                 for w, _ in out.values():
                     w.close()
-                names = [out[k][1] for k in ("data", "left_out")]
-                have = [pq.read_metadata(f"{root}/{x}", filesystem=fs).num_rows for x in names]
-                if have != [n_kept, n_in - n_kept]:
-                    raise RuntimeError(f"{names} hold {have} rows instead of {[n_kept, n_in - n_kept]}")
-                done.append((open_group, *names, n_in, n_kept))
-            out = {}
+                done.append((open_group, out["data"][1], out["left_out"][1], *totals.ravel().tolist()))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            groups = batch.column("_group")
-            ends = [i for i in range(1, batch.num_rows) if groups[i] != groups[i - 1]] if groups[0] != groups[batch.num_rows - 1] else []
-            for lo, hi in zip([0, *ends], [*ends, batch.num_rows]):
-                g = groups[lo].as_py()
-                if g != open_group:
+            mark = batch.column("_mark").to_numpy(zero_copy_only=False)
+            keep = np.concatenate(([marked], mark[:-1])) & ~mark
+            marked = bool(mark[-1])
+            group, hashes = batch.column("_group").to_numpy(), batch.column("_h").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            rows = pa.Table.from_batches([batch]).select(schema.names).cast(schema)
+            for lo, hi in zip(edges, edges[1:]):
+                if group[lo] != open_group:
                     close()
-                    open_group, n_in, n_kept = g, 0, 0
+                    open_group = int(group[lo])
+                    totals[:] = 0
+                    out = {}
                     for kind in ("data", "left_out"):
-                        name = f"{kind}-{g}-{uuid.uuid4().hex}.parquet"
+                        name = f"{kind}-{open_group}-{uuid.uuid4().hex}.parquet"
                         out[kind] = (pq.ParquetWriter(f"{root}/{name}", schema, filesystem=fs), name)
-                part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
-                keep = part.column("_keep")
-                rows = part.select(schema.names).cast(schema)
-                out["data"][0].write_table(kept := rows.filter(keep))
-                out["left_out"][0].write_table(rows.filter(pc.invert(keep)))
-                n_in, n_kept = n_in + part.num_rows, n_kept + kept.num_rows
+                for i, (kind, which) in enumerate((("data", keep[lo:hi]), ("left_out", ~keep[lo:hi] & ~mark[lo:hi]))):
+                    if which.any():
+                        out[kind][0].write_table(rows.slice(lo, hi - lo).filter(pa.array(which)))
+                        with np.errstate(over="ignore"):
+                            totals[i] += (which.sum(), hashes[lo:hi][which].astype(np.int64).sum())
         close()
-        yield pa.RecordBatch.from_pydict({k: [d[i] for d in done] for i, k in enumerate(("group_id", "data_file", "left_out_file", "n_in", "n_kept"))}, schema=_STATS)
+        yield pa.RecordBatch.from_pydict({k: [d[i] for d in done] for i, k in enumerate(_STATS.names)}, schema=_STATS)
 
     return run
 
 
-_STATS = pa.schema([("group_id", pa.int64()), ("data_file", pa.string()), ("left_out_file", pa.string()), ("n_in", pa.int64()), ("n_kept", pa.int64())])
+_STATS = pa.schema([("group_id", pa.int64()), ("data_file", pa.string()), ("left_out_file", pa.string()), ("n_kept", pa.int64()), ("h_kept", pa.int64()), ("n_left", pa.int64()), ("h_left", pa.int64())])
 
 
 def compact(records: DataFrame, files: DataFrame, identity: dict[str, Column], folder: str, target_bytes: int = TARGET_BYTES) -> dict:
     """Write ``records`` into few files below ``folder`` and publish their manifest, which is returned.
 
-    ``records`` need ``file_id`` and ``line_no``; records of a file that is not listed go to the groups by hash of the
-    file. The manifest is published only if every record read is in exactly one written file. Empty input gives
-    an empty manifest.
+    ``records`` need ``file_id`` and ``line_no``, which may be null or repeated; a file that isn't listed counts
+    ``RECORD_BYTES`` per record. The manifest is published only if the files, read back, hold every record read once,
+    whole and unchanged. Empty input gives an empty manifest. The records are read three times, their rows are shuffled
+    once (twice where the listing is too large to broadcast). ``folder`` belongs to the caller, who removes it.
     """
     spark = records.sparkSession
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    groups = assign_groups(files, target_bytes)
-    kept = first_copies(records, identity, ["file_id", "line_no"]).select("file_id", "line_no", F.lit(True).alias("_keep"))
-    part = F.when(F.col("n_parts") > 1, F.floor((F.col("line_no") - 1) * F.col("n_parts") / F.greatest("n_records", "line_no"))).otherwise(F.lit(0))
-    placed = (
-        records.join(groups.drop("n_bytes"), "file_id", "left")
-        .join(kept, ["file_id", "line_no"], "left")
-        .select(*records.columns, F.coalesce("_keep", F.lit(False)).alias("_keep"), F.coalesce(F.col("group_id") + part, F.lit(-1) - F.pmod(F.xxhash64("file_id"), F.lit(64))).alias("_group"))
-    )
-    stats = placed.repartition("_group").sortWithinPartitions("_group", "file_id", "line_no").mapInArrow(_writer(folder, to_arrow_schema(records.schema)), T.StructType.fromDDL("group_id long, data_file string, left_out_file string, n_in long, n_kept long"))
-    written = [r.asDict() for r in stats.collect()]  # one row per output file
+    counted = records.groupBy(_file().alias("file_id")).agg(F.count("*").alias("_n"))
+    sized = files.select(_file().alias("file_id"), "n_bytes", "n_records").join(counted, "file_id", "full").select("file_id", F.coalesce("n_bytes", F.col("_n") * RECORD_BYTES).alias("n_bytes"), F.coalesce("_n", "n_records").alias("n_records"))
+    groups = checkpointed(assign_groups(sized, target_bytes).select(F.col("file_id").alias("_file"), "group_id", "n_parts"))
+    row_hash = F.xxhash64(*records.columns)
+    keyed, _ = _keyed(records, identity)
+    rows = keyed.select(*records.columns, "_d", "_at", _file().alias("_file"), row_hash.alias("_h"), F.lit(False).alias("_mark"))
+    marks = first_copies(records, identity).select(*[F.lit(None).cast(records.schema[c].dataType).alias(c) for c in records.columns], "_d", "_at", "_file", F.lit(0).cast("long").alias("_h"), F.lit(True).alias("_mark"))
+    both = lookup(rows.unionByName(marks), groups, ["_file"], F.col("_d"))
+    # A file larger than the target is spread over its groups by record, so that a mark goes where its record goes.
+    part = F.pmod(F.xxhash64("_d", "_at"), F.col("n_parts"))
+    placed = both.select(*records.columns, "_d", "_at", "_h", "_mark", (F.col("group_id") + part).alias("_group"))
+    order = ["_group", "_at", "_d", F.col("_mark").desc()]
+    stats = placed.repartition("_group").sortWithinPartitions(*order).drop("_d", "_at").mapInArrow(_writer(folder, to_arrow_schema(records.schema)), T.StructType.fromDDL("group_id long, data_file string, left_out_file string, n_kept long, h_kept long, n_left long, h_left long"))
+    written = sorted((r.asDict() for r in stats.collect()), key=lambda w: w["group_id"])  # one row per output file
+    found = {}
+    if written:
+        back = spark.read.schema(records.schema).parquet(*[f"{folder}/{w[k]}" for w in written for k in ("data_file", "left_out_file")])
+        sums = back.groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name")).agg(F.count("*").alias("n"), F.sum(row_hash.cast("decimal(20,0)")).alias("h"))
+        found = {r["name"]: (r["n"], int(r["h"])) for r in sums.collect()}
     read = records.count()
-    if sum(w["n_in"] for w in written) != read or len({w["group_id"] for w in written}) != len(written):
-        raise RuntimeError(f"{read} records read, {sum(w['n_in'] for w in written)} written: nothing is published")
-    manifest = {"folder": folder, "records": read, "kept": sum(w["n_kept"] for w in written), "files": sorted(written, key=lambda w: w["group_id"])}
-    with fs.open_output_stream(f"{root}/manifest.json.tmp") as f:
-        f.write(json.dumps(manifest).encode())
-    fs.move(f"{root}/manifest.json.tmp", f"{root}/manifest.json")
+    verify(written, found, read)
+    manifest = {"folder": folder, "records": read, "kept": sum(w["n_kept"] for w in written), "files": written}
+    name = f"manifest-{uuid.uuid4().hex}.json"
+    for path, text in ((name, json.dumps(manifest)), ("current.tmp", name)):
+        with fs.open_output_stream(f"{root}/{path}") as f:
+            f.write(text.encode())
+    fs.move(f"{root}/current.tmp", f"{root}/current")
     return manifest
 
 
+def verify(written: list[dict], found: dict[str, tuple[int, int]], read: int) -> None:
+    """Raises RuntimeError unless the files hold what went into them, each group was written once and no record is missing.
+
+    ``found``: rows and sum of row hashes by file, as read back; a file without rows may be absent.
+    """
+    for w in written:
+        for name, n, h in ((w["data_file"], w["n_kept"], w["h_kept"]), (w["left_out_file"], w["n_left"], w["h_left"])):
+            have = found.get(name, (0, 0))
+            if have[0] != n or (have[1] - h) % (1 << 64):
+                raise RuntimeError(f"{name} holds other records than were written: nothing is published")
+    total = sum(w["n_kept"] + w["n_left"] for w in written)
+    if total != read or len({w["group_id"] for w in written}) != len(written):
+        raise RuntimeError(f"{read} records read, {total} written: nothing is published")
+
+
 def read_published(spark: SparkSession, folder: str, schema: T.StructType, left_out: bool = False) -> DataFrame:
     """The records of the published manifest, or those that it left out."""
     fs, root = pafs.FileSystem.from_uri(folder)
-    with fs.open_input_stream(f"{root}/manifest.json") as f:
-        names = [w["left_out_file" if left_out else "data_file"] for w in json.loads(f.read())["files"]]
+    text = ""
+    for path in ("current", ""):
+        with fs.open_input_stream(f"{root}/{path or text}") as f:
+            text = f.read().decode()
+    names = [w["left_out_file" if left_out else "data_file"] for w in json.loads(text)["files"]]
     return spark.read.schema(schema).parquet(*[f"{folder}/{n}" for n in names]) if names else spark.createDataFrame([], schema)

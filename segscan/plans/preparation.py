@@ -41,6 +41,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
+#: Raw bytes per output file: the test tables' tiny files are 2.8 MB at sf0.1, so that they make a dozen files; for real data, 128 MB.
+RAW_BYTES = 256 << 10
 MEASURES = ("cp_n_changepoints", "cp_osc_chain", "cp_within_dispersion", "cp_osc_confidence", "cp_n_levels", "cp_n_probes")
 
 
@@ -51,7 +53,7 @@ def _record() -> dict:
 def _compacted(spark: SparkSession, d: str, left_out: bool) -> DataFrame:
     records = table(spark, d, "cp_features")
     folder = shared_folder(spark, "compact")
-    compact(records, table(spark, d, "cp_files"), _record(), folder)
+    compact(records, table(spark, d, "cp_files"), _record(), folder, RAW_BYTES)
     return read_published(spark, folder, records.schema, left_out)
 
 
@@ -64,7 +66,14 @@ def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return assign_groups(table(spark, d, "cp_files")).groupBy("group_id").agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_records").alias("n_records"))
+    return assign_groups(table(spark, d, "cp_files"), RAW_BYTES).groupBy("group_id").agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_records").alias("n_records"))
+
+
+def p3_balance(spark: SparkSession, d: str) -> DataFrame:
+    """The groups in one row; ``balanced``: no two differ by more than the longest file."""
+    longest = F.max(F.col("n_bytes")).alias("_longest")
+    loads = p3_groups(spark, d).agg(F.count("*").alias("n_groups"), F.sum("n_files").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_records").alias("n_records"), (F.max("n_bytes") - F.min("n_bytes")).alias("_apart"))
+    return loads.crossJoin(table(spark, d, "cp_files").agg(longest)).select("n_groups", "n_files", "n_bytes", "n_records", (F.col("_apart") <= F.col("_longest")).alias("balanced"))  # one row each
 
 
 def _parsed(spark: SparkSession, d: str, with_lines: bool = True) -> DataFrame:
@@ -84,7 +93,7 @@ def p4_replayed(spark: SparkSession, d: str) -> DataFrame:
     return replay(promote(ingest(_parsed(spark, d)), {"cf.em": "double", "nhet": "int", "arm": "string", "qc_flag": "string"}))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_report, p3_found, p3_compacted, p3_groups, p4_found, p4_table, p4_replayed)}
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_report, p3_found, p3_compacted, p3_groups, p3_balance, p4_found, p4_table, p4_replayed)}
 
 _STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
 _SAMPLE = f"upper({_STRIP})"
@@ -145,6 +154,7 @@ WITH n AS (SELECT *, {_SAMPLE.format('sample_id')} AS s, {_CHROM} AS c FROM cp_f
 d AS (SELECT *, row_number() OVER (PARTITION BY {_SAME} ORDER BY file_id, line_no) AS rn FROM n)
 SELECT * EXCLUDE (s, c, rn) FROM d t WHERE rn = 1
    AND NOT (cp_n_probes IS NULL AND EXISTS (SELECT 1 FROM (SELECT DISTINCT {_SAME} FROM n WHERE cp_n_probes IS NOT NULL) f WHERE f.s = t.s AND {_AGREE}))""",
+    "p3_balance": f"SELECT CAST(ceil(sum(n_bytes) / {RAW_BYTES}.0) AS BIGINT) AS n_groups, count(*) AS n_files, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, CAST(sum(n_records) AS BIGINT) AS n_records, true AS balanced FROM cp_files",
     "p4_found": f"""
 WITH {_PARSED}
 SELECT feed_code, CAST(seq_no AS INTEGER) AS seq_no, change_kind, field_name FROM (

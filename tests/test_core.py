@@ -96,11 +96,61 @@ def test_groups_are_balanced(spark):
     assert assign_groups(files.limit(0)).count() == 0
 
 
-def test_first_copies(spark):
-    rows = [(1, 1, "a", 1.0, 5), (1, 2, "a", 1.0, 5), (2, 1, "a", 1.0, None), (2, 2, "a", 2.0, None), (3, 1, "b", None, 1), (3, 2, None, None, None)]
+RECORDS = [(1, 1, "a", 1.0, 5), (1, 2, "a", 1.0, 5), (2, 1, "a", 1.0, None), (2, 2, "a", 2.0, None), (3, 1, "b", None, 1), (3, 2, None, None, None)]
+IDENTITY = {"s": F.col, "p": F.col, "n": F.col}
+
+
+def _identity():
+    return {k: f(k) for k, f in IDENTITY.items()}
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_first_copies(spark, monkeypatch, most):
+    from segscan.operators import compaction
+
+    monkeypatch.setattr(compaction, "BROADCAST_ROWS", most)
+    df = spark.createDataFrame(RECORDS, "file_id long, line_no int, s string, p double, n int")
+    kept = first_copies(df, _identity())
+    assert {(int(r["_at"]) // 10**10, int(r["_at"]) % 10**10) for r in kept.collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_nulls_are_not_values_of_the_next_field(spark):
+    # One digest for both would need equal fields: 3 then nothing, or nothing then 3.
+    df = spark.createDataFrame([(1, 1, 3, None, 1), (1, 2, None, 3, 1), (1, 3, 3, None, None), (1, 4, None, 4, None)], "file_id long, line_no int, s int, p int, n int")
+    assert sorted(int(r["_at"]) % 10**10 for r in first_copies(df, _identity()).collect()) == [1, 2, 4]
+
+
+def test_compact_in_several_groups(spark, tmp_path):
+    from segscan.operators.compaction import compact, read_published
+
+    rng = random.Random(8)
+    rows = [(rng.randint(1, 40), i, rng.choice("abcdefgh"), float(rng.randint(1, 9)), rng.choice([1, 2, 3, None])) for i in range(600)]
+    rows += [(None, 7, "z", 1.0, 1), (None, 8, "z", 1.0, 1), (5, None, "y", 1.0, 1), (6, 1, "x", 1.0, 1), (6, 1, "x", 1.0, 1), (6, 1, "w", 1.0, 1), (99, 1, "u", 1.0, 1)]
     df = spark.createDataFrame(rows, "file_id long, line_no int, s string, p double, n int")
-    kept = first_copies(df, {"s": F.col("s"), "p": F.col("p"), "n": F.col("n")}, ["file_id", "line_no"])
-    assert {(r.file_id, r.line_no) for r in kept.collect()} == {(1, 1), (2, 2), (3, 1)}
+    files = spark.createDataFrame([(i, 40 * i, 3) for i in range(1, 42)], "file_id long, n_bytes long, n_records int")
+    manifest = compact(df, files, _identity(), str(tmp_path / "a"), target_bytes=1000)
+    assert len(manifest["files"]) > 8 and manifest["records"] == len(rows)
+    kept = [tuple(r) for r in read_published(spark, str(tmp_path / "a"), df.schema).collect()]
+    left = [tuple(r) for r in read_published(spark, str(tmp_path / "a"), df.schema, True).collect()]
+    assert sorted(map(repr, kept + left)) == sorted(map(repr, rows))
+    last = lambda r: (r[0] is None, r[0], r[1] is None, r[1])
+    want, full = {}, {r[2:] for r in rows if r[4] is not None}
+    for r in sorted(rows, key=last):
+        if r[4] is not None or not any(x[:2] == r[2:4] for x in full):
+            want.setdefault(r[2:], r)
+    assert sorted(map(repr, kept)) == sorted(map(repr, want.values()))
+    assert compact(df.limit(0), files, _identity(), str(tmp_path / "b"))["files"] == []
+    assert read_published(spark, str(tmp_path / "b"), df.schema).count() == 0
+
+
+def test_nothing_is_published_that_does_not_agree():
+    from segscan.operators.compaction import verify
+
+    w = {"group_id": 1, "data_file": "d", "left_out_file": "l", "n_kept": 2, "h_kept": -5, "n_left": 0, "h_left": 0}
+    verify([w], {"d": (2, (1 << 64) - 5)}, 2)
+    for written, found, read in (([w], {"d": (2, 6)}, 2), ([w], {"d": (1, -5)}, 2), ([w], {}, 2), ([w], {"d": (2, -5)}, 3), ([w, w], {"d": (2, -5)}, 4)):
+        with pytest.raises(RuntimeError):
+            verify(written, found, read)
 
 
 def _longest(states, k):
