@@ -9,7 +9,7 @@ from segscan.functions.text import bare_chrom, path_key, sample_key, strip
 from segscan.operators.compaction import assign_groups, compact, read_published
 from segscan.operators.packed import unpack
 from segscan.operators.references import find_orphans, orphan_report
-from segscan.sources.raw_segments import ingest, parse_files, promote, replay, schema_changes
+from segscan.sources.raw_segments import ingest, promote, replay, schema_changes, segments_of, unreadable
 from segscan.sources.tables import shared_folder, table
 
 
@@ -76,24 +76,27 @@ def p3_balance(spark: SparkSession, d: str) -> DataFrame:
     return loads.crossJoin(table(spark, d, "cp_files").agg(longest)).select("n_groups", "n_files", "n_bytes", "n_records", (F.col("_apart") <= F.col("_longest")).alias("balanced"))  # one row each
 
 
-def _parsed(spark: SparkSession, d: str, with_lines: bool = True) -> DataFrame:
-    files = table(spark, d, "cncf_files").select("file_id", "feed_code", "seq_no", "delivered_at", "content")
-    return parse_files(files, with_lines=with_lines)
+def _ingested(spark: SparkSession, d: str) -> DataFrame:
+    return ingest(table(spark, d, "cncf_files"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_changes(_parsed(spark, d, with_lines=False))
+    return schema_changes(_ingested(spark, d))
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    return ingest(_parsed(spark, d))
+    return segments_of(_ingested(spark, d))
 
 
 def p4_replayed(spark: SparkSession, d: str) -> DataFrame:
-    return replay(promote(ingest(_parsed(spark, d)), {"cf.em": "double", "nhet": "int", "arm": "string", "qc_flag": "string"}))
+    return replay(promote(segments_of(_ingested(spark, d)), {"cf.em": "double", "nhet": "int", "arm": "string", "qc_flag": "string"}))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_report, p3_found, p3_compacted, p3_groups, p3_balance, p4_found, p4_table, p4_replayed)}
+def p4_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    return unreadable(_ingested(spark, d))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_report, p3_found, p3_compacted, p3_groups, p3_balance, p4_found, p4_table, p4_replayed, p4_unreadable)}
 
 _STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
 _SAMPLE = f"upper({_STRIP})"
@@ -125,7 +128,26 @@ _PARSED = r"""
   pairs AS (SELECT feed_code, seq_no FROM fields INTERSECT SELECT feed_code, seq_no FROM olds)
 """
 
+_RESCUED = _PARSED + r""",
+  first AS (SELECT feed_code, seq_no, min(file_id) AS file_id, arg_min(delivered_at, file_id) AS loaded_at FROM cncf_files GROUP BY ALL),
+  body AS (SELECT feed_code, seq_no, sep, generate_subscripts(l[2:], 1) AS line_no, unnest(l[2:]) AS line FROM parts),
+  each AS (SELECT feed_code, seq_no, line_no, generate_subscripts(v, 1) AS i, unnest(v) AS raw FROM (SELECT *, string_split(line, sep) AS v FROM body)),
+  vals AS (SELECT e.feed_code, e.seq_no, e.line_no, e.i, n.field, n.name, trim(e.raw, ' "' || chr(9)) AS x FROM each e JOIN (SELECT f.feed_code, f.seq_no, f.field, f.name, p.i FROM fields f JOIN (SELECT feed_code, seq_no, i, trim(raw, ' "' || chr(9)) AS name FROM names) p USING (feed_code, seq_no, name)) n ON (n.feed_code, n.seq_no, n.i) = (e.feed_code, e.seq_no, e.i)),
+  seen AS (SELECT *, lower(x) IN ('', 'na', 'nan', '.') AS absent, field IN ('loc_start','loc_end','cnlr_median','maf_r','tcn','lcn') AS dbl, field IN ('num_mark','seg') AS int_, field LIKE 'x:%' AS extra, {mend} AS mended FROM vals),
+  num AS (SELECT *, CASE WHEN (dbl OR int_) AND NOT absent AND regexp_matches(coalesce(mended, x), '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(coalesce(mended, x) AS DOUBLE) END AS n0 FROM seen),
+  cast_ AS (SELECT *, CASE WHEN dbl OR (n0 = round_even(n0, 0) AND abs(n0) < 2147483648) THEN n0 END AS n FROM num),
+  told AS (SELECT *, (extra AND NOT ({promoted})) OR ((dbl OR int_) AND NOT absent AND n IS NULL) AS lost FROM cast_)
+SELECT first.file_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(max(x) FILTER (field = 'id' AND NOT absent), '_hisens$', '') AS sample_id, max(x) FILTER (field = 'id' AND NOT absent) AS facets_id, max(x) FILTER (field = 'chrom' AND NOT absent) AS chrom,
+  max(n) FILTER (field = 'loc_start') AS loc_start, max(n) FILTER (field = 'loc_end') AS loc_end, CAST(max(n) FILTER (field = 'num_mark') AS INTEGER) AS num_mark, max(n) FILTER (field = 'cnlr_median') AS cnlr_median, max(n) FILTER (field = 'maf_r') AS maf_r, max(n) FILTER (field = 'tcn') AS tcn, max(n) FILTER (field = 'lcn') AS lcn,
+  CAST(max(n) FILTER (field = 'seg') AS INTEGER) AS seg, any_value(first.loaded_at) AS loaded_at, '{{' || string_agg('"' || CASE WHEN extra THEN field[3:] ELSE field END || '":"' || replace(replace(x, '\', '\\'), '"', '\"') || '"', ',' ORDER BY i) FILTER (lost) || '}}' AS rescued {more}
+FROM told JOIN first USING (feed_code, seq_no) GROUP BY first.file_id, line_no"""
+_MEND = r"CASE WHEN (field IN ('loc_start','loc_end','cnlr_median','maf_r','tcn','lcn','num_mark','seg')) THEN CASE WHEN regexp_matches(x, '^[+-]?[0-9]+,[0-9]+$') THEN replace(x, ',', '.') WHEN regexp_matches(x, '^(s|CN)[0-9]+$') THEN regexp_replace(x, '^(s|CN)', '') WHEN regexp_matches(x, '^~[0-9.]+$') THEN x[2:] WHEN regexp_matches(x, '^[0-9.]+\*$') THEN x[:-2] END END"
+
 ORACLE = {
+    "p4_table": "WITH " + _RESCUED.replace("{mend}", "NULL").replace("{promoted}", "false").replace("{more}", "").replace("{{", "{").replace("}}", "}"),
+    "p4_replayed": "WITH " + _RESCUED.replace("{mend}", _MEND).replace("{promoted}", "(name = 'cf.em' AND TRY_CAST(x AS DOUBLE) IS NOT NULL) OR (name = 'nhet' AND TRY_CAST(x AS INTEGER) IS NOT NULL) OR name IN ('arm', 'qc_flag')")
+    .replace("{more}", ", max(TRY_CAST(x AS DOUBLE)) FILTER (name = 'cf.em') AS cf_em, max(TRY_CAST(x AS INTEGER)) FILTER (name = 'nhet') AS nhet, max(x) FILTER (name = 'arm') AS arm, max(x) FILTER (name = 'qc_flag') AS qc_flag").replace("{{", "{").replace("}}", "}"),
+    "p4_unreadable": r"SELECT file_id, feed_code, seq_no FROM (SELECT *, row_number() OVER (PARTITION BY feed_code, seq_no ORDER BY file_id) AS rn FROM cncf_files) WHERE rn = 1 AND NOT regexp_matches(coalesce(content, ''), '(^|[\r\n])\s*[^#\s]')",
     "p1_found": r"""
 WITH f AS (SELECT 'manifest' AS src_table, row_id, chr_ctx FROM manifest UNION ALL SELECT 'ctx_details', row_id, chr_ctx FROM ctx_details),
 b AS (SELECT src_table, row_id, regexp_replace(regexp_replace(trim(chr_ctx, ' ' || chr(9) || chr(10) || chr(13)), '^c?[(\[{]|[)\]}]$', '', 'g'), '(^|[\s,;|])[nN]/[aA]($|[\s,;|])', '\1\2', 'g') AS x FROM f),

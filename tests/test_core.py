@@ -18,7 +18,7 @@ from segscan.operators.compaction import assign_groups, balance, first_copies
 from segscan.operators.packed import split_values, unpack
 from segscan.operators.references import find_orphans, orphan_report
 from segscan.plans import cohort, nomination, preparation
-from segscan.sources.raw_segments import ingest, parse_files, replay
+from segscan.sources.raw_segments import ingest, replay, schema_changes, segments_of, unreadable
 
 QUERIES = {**preparation.QUERIES, **cohort.QUERIES, **nomination.QUERIES}
 ORACLE = {**preparation.ORACLE, **cohort.ORACLE, **nomination.ORACLE}
@@ -264,16 +264,39 @@ def test_breakpoints_of_many_signals():
 
 @pytest.mark.parametrize("end", ["\r", "\n", "\r\n"])
 @pytest.mark.parametrize("sep", ["\t", ";"])
-def test_header_after_a_comment(spark, end, sep):
+def test_header_after_a_comment(spark, sep, end):
     text = end.join(["# a\tb;c", "", "  # d", f"id{sep}chrom", f"s{sep}1", ""])
-    files = spark.createDataFrame([(1, text), (2, end.join(["# only", ""]))], "file_id long, content string")
-    assert [(r.file_id, [f.field for f in r.fields], r.lines) for r in parse_files(files).collect()] == [(1, ["id", "chrom"], [["s", "1"]])]
+    files = _files(spark, [("f", 1, 1, text), ("f", 2, 2, end.join(["# only", ""])), ("f", 3, 3, None)])
+    got = ingest(files)
+    assert [(r.file_id, r.line_no, r.facets_id, r.chrom) for r in segments_of(got).collect()] == [(1, 1, "s", "1")]
+    assert [[f.field for f in r.fields] for r in got.filter("fields IS NOT NULL").collect()] == [["id", "chrom"]]
+    assert sorted(r.file_id for r in unreadable(got).collect()) == [2, 3]
+
+
+def _files(spark, rows):
+    return spark.createDataFrame([(f, s, i, datetime(2024, 1, 1), t, "x") for f, s, i, t in rows], "feed_code string, seq_no int, file_id long, delivered_at timestamp, content string, rescued string")
 
 
 def test_surplus_cells_and_repeated_names_are_rescued(spark):
     text = "id\tchrom\ttcn.em\ttcn\tnote\tnote\nr\t1\tbad\t3\ta\tb\tc\t\td\nr\t2\t2\t\t\t\n"
-    files = spark.createDataFrame([(1, "f", 1, datetime(2024, 1, 1), text)], "file_id long, feed_code string, seq_no long, delivered_at timestamp, content string")
-    for rows in (ingest(parse_files(files)), replay(ingest(parse_files(files)))):
+    files = _files(spark, [("f", 1, 1, text)])
+    for rows in (segments_of(ingest(files)), replay(segments_of(ingest(files)))):
         first, second = rows.orderBy("line_no").collect()
         assert json.loads(first.rescued) == {"tcn": "bad", "tcn 2": "3", "note": "a", "note 2": "b", " column 7": "c", " column 9": "d"}
         assert (first.tcn, second.tcn, json.loads(second.rescued)) == (None, 2.0, {"tcn 2": "", "note": "", "note 2": ""})
+
+
+def test_values_that_the_target_cannot_take(spark):
+    text = 'ID;Total CN;num.mark;seg;note\na_hisens;+1.5;3.0;1e999;say "hi" \\\tx\nb;.;2.5;99999999999;\n'
+    first, second = segments_of(ingest(_files(spark, [(None, 1, 1, text)]))).orderBy("line_no").collect()
+    assert (first.sample_id, first.facets_id, first.tcn, first.num_mark, first.seg, first.chrom) == ("a", "a_hisens", 1.5, 3, None, None)
+    assert json.loads(first.rescued) == {"seg": "1e999", "note": 'say "hi" \\\tx'}
+    assert (second.tcn, second.num_mark) == (None, None) and json.loads(second.rescued) == {"num_mark": "2.5", "seg": "99999999999", "note": ""}
+
+
+def test_changes_come_from_the_reports(spark):
+    one, two = "ID;tcn;lcn\na;1;2\n", "ID;Total-CN;lcn;x\na;1.0;t;\n"
+    files = _files(spark, [("f", 1, 1, one), ("f", 2, 2, two), ("f", 2, 9, one), ("f", 4, 4, one), (None, 5, 5, one), ("g", 1, 6, one), ("g", 2, 7, one.replace("tcn", "y")), ("g", 2, 7, one.replace("tcn", "y"))])
+    got = sorted(tuple(r) for r in schema_changes(ingest(files)).collect())
+    assert got == [("f", 2, "added", "x"), ("f", 2, "renamed", "Total-CN"), ("f", 2, "retyped", "Total-CN"), ("f", 2, "retyped", "lcn"), ("g", 2, "added", "y"), ("g", 2, "removed", "tcn")]
+    assert ingest(files).count() == 6 + 6 and ingest(files.limit(0)).count() == 0
