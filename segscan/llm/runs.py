@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: An entity with more events than this, and than a thousandth of all, is cut into ranges that are stitched again.
+from segscan.operators.joins import lookup
+from segscan.sources.tables import checkpointed
+
+#: An entity with more events than this is cut into ranges, whose ends are segmented together.
 HOT_EVENTS = 200_000
 #: Beyond so many distinct neighbours of one entity, those before a certain boundary are segmented at once.
 MOST_TOKENS = 4096
@@ -115,13 +118,22 @@ def _tokens(table: pa.Table, entity: list[str], features: list[str]) -> pa.Table
     return pa.table([changed.get(c, head.column(c)) for c in table.schema.names], schema=table.schema)
 
 
-def _runs(table: pa.Table, entity: list[str], features: list[str], penalty: float) -> pa.Table:
-    """Runs of the tokens, which are sorted by entity and start."""
+def _runs(table: pa.Table, entity: list[str], features: list[str], penalty: float, apart: np.ndarray | None = None) -> pa.Table:
+    """Runs of the tokens, which are sorted by entity and start; ``apart`` is true where a token is known to begin a run."""
     values, void = _values(table, features)
     forced = _fresh(table, entity) | void | np.concatenate(([False], void[:-1]))
+    if apart is not None:
+        forced |= apart
+    values = np.where(void[:, None], 0.0, values)
+    weight = table.column("_n").to_numpy()
+    return _summed(table, entity, features, np.flatnonzero(segment(values, weight.astype(float), np.cumsum(forced), penalty)))
+
+
+def _summed(table: pa.Table, entity: list[str], features: list[str], begins: np.ndarray) -> pa.Table:
+    """Tokens taken together from each of ``begins`` to the next: count, sums and ends."""
+    values, void = _values(table, features)
     values = np.where(void[:, None], 0.0, values)
     weight = table.column("_n").to_numpy()
-    begins = np.flatnonzero(segment(values, weight.astype(float), np.cumsum(forced), penalty))
     last = np.concatenate((begins[1:], [table.num_rows])) - 1
     sums = [np.add.reduceat(values[:, i] * weight, begins) for i in range(len(features))]
     square = np.add.reduceat((values**2).sum(axis=1) * weight, begins)
@@ -131,8 +143,8 @@ def _runs(table: pa.Table, entity: list[str], features: list[str], penalty: floa
     return pa.table(out)
 
 
-def _far_cut(table: pa.Table, features: list[str], penalty: float) -> int:
-    """The last token before which every optimal segmentation has a boundary, or 0 if none is known.
+def _certain(table: pa.Table, entity: list[str], features: list[str], penalty: float) -> np.ndarray:
+    """The tokens, but the first, before which every optimal segmentation has a boundary, whatever stands around the table.
 
     Two neighbours, both taken out of a run that holds them, become runs of their own at three boundaries at most. Where
     the pair alone costs more than these, it is never in one run; more events in either token only add to that cost.
@@ -140,8 +152,7 @@ def _far_cut(table: pa.Table, features: list[str], penalty: float) -> int:
     values, void = _values(table, features)
     w = table.column("_n").to_numpy().astype(float)
     far = w[1:] * w[:-1] / (w[1:] + w[:-1]) * ((values[1:] - values[:-1]) ** 2).sum(axis=1) > 3 * penalty
-    hit = np.flatnonzero(far | void[1:] | void[:-1])
-    return int(hit[-1]) + 1 if len(hit) else 0
+    return np.flatnonzero(far | void[1:] | void[:-1] | _fresh(table, entity)[1:]) + 1
 
 
 def _settled_cut(table: pa.Table, features: list[str], penalty: float) -> int:
@@ -175,9 +186,11 @@ def collapse_runs(events: DataFrame, entity: list[str], start: str, end: str, fe
     With whole-numbered features and a penalty below 1/4, exactly the maximal runs of equal events come out: a
     run that holds c changes costs at least c/4 more than its parts. Larger penalties join near-identical ones.
 
-    Entities are hashed to tasks. Those with too many events (a bounded list) are cut into ranges of start; runs at
-    the edges of ranges are stitched where that lowers the cost. Beyond ``most_tokens`` distinct neighbours a task
-    segments what lies before the last certain boundary; where there is none, it holds them until there is one.
+    Entities are hashed to tasks. One with more than ``hot_events`` events is cut into ranges of start. A range segments
+    what lies between its first and its last certain boundary; the tokens outside, up to the certain boundary of the next
+    range, are segmented together, so the result is the same, to the last boundary, as without ranges. Beyond ``most_tokens``
+    distinct neighbours a task segments what lies before the last certain boundary; where there is none, it holds
+    them until there is one.
     """
     number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features}
     tie = tie or []
@@ -189,35 +202,22 @@ def collapse_runs(events: DataFrame, entity: list[str], start: str, end: str, fe
     for c, kind in (("run_start", "double"), ("run_end", "double"), ("n_events", "long"), ("missing", "boolean"), *((f"sum_{n}", "double") for n in names), ("sum_squares", "double"), ("edge", "integer")):
         schema = schema.add(c, kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], ranges: bool = False) -> Iterator[pa.RecordBatch]:
+        """``edge`` is -1 for runs; tokens before the first certain boundary of a range have an even number, those after the last the next odd one."""
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         keep = [*entity, "_start", "_end", *names]
         rest: pa.Table | None = None
         before: pa.Table | None = None  # the last event, as it may be delivered again
-        patience = 16 * most_tokens
-        held: pa.Table | None = None  # the last runs so far: they may turn out to be at the edge
-
-        def tell(runs: pa.Table, edge_first: bool, edge_last: bool) -> pa.Table:
-            edge = np.full(runs.num_rows, -1, np.int32)
-            if edge_first:
-                edge[0] = task
-            if edge_last:
-                edge[-1] = task
-            return runs.append_column("edge", pa.array(edge))
-
-        is_first = True
-
-        def emit(table: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, is_first
-            runs = _runs(table, entity, names, penalty)
-            if held is not None:
-                yield from tell(held, is_first, False).to_batches()
-                is_first = False
-            held = runs
-            if final:
-                yield from tell(held, is_first, True).combine_chunks().to_batches()
+        patience = wait = 16 * most_tokens
+        opened = not ranges  # whether the rest begins where a run begins
+
+        def tell(runs: pa.Table, edge: int) -> Iterator[pa.RecordBatch]:
+            yield from runs.append_column("edge", pa.array(np.full(runs.num_rows, edge, np.int32))).combine_chunks().to_batches()
+
+        def tokens(table: pa.Table, edge: int) -> Iterator[pa.RecordBatch]:
+            return tell(_summed(table, entity, names, np.arange(table.num_rows)), edge)
 
         for batch in batches:
             if not batch.num_rows:
@@ -232,43 +232,61 @@ def collapse_runs(events: DataFrame, entity: list[str], start: str, end: str, fe
             if not table.num_rows:
                 continue
             table = table.append_column("_n", pa.array(np.ones(table.num_rows, np.int64)))
-            table = _tokens(pa.concat_tables([rest, table]) if rest is not None else table, entity, names)
-            cut = int(np.flatnonzero(_fresh(table, entity))[-1])
-            if table.num_rows - cut > most_tokens:
-                tail = table.slice(cut)
-                found = _far_cut(tail, names, penalty)
+            rest = _tokens(pa.concat_tables([rest, table]) if rest is not None else table, entity, names)
+            if not opened:
+                if rest.num_rows < wait:
+                    continue
+                hits = _certain(rest, entity, names, penalty)
+                wait = 2 * rest.num_rows
+                if not len(hits):
+                    continue
+                yield from tokens(rest.slice(0, hits[0]), 2 * task)
+                rest, opened = rest.slice(hits[0]), True
+            cut = int(np.flatnonzero(_fresh(rest, entity))[-1])
+            if rest.num_rows - cut > most_tokens:
+                tail = rest.slice(cut)
+                hits = _certain(tail, entity, names, penalty)
+                found = int(hits[-1]) if len(hits) else 0
                 if not found and tail.num_rows > patience:
                     found = _settled_cut(tail, names, penalty)
                     patience = 16 * most_tokens if found else 2 * tail.num_rows
                 cut += found
             if cut:
-                yield from emit(table.slice(0, cut), False)
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from emit(rest, True)
+                yield from tell(_runs(rest.slice(0, cut), entity, names, penalty), -1)
+            rest = rest.slice(cut)
+        if rest is None or not rest.num_rows:
+            return
+        if not ranges:
+            yield from tell(_runs(rest, entity, names, penalty), -1)
+            return
+        hits = _certain(rest, entity, names, penalty)
+        if not opened:
+            yield from tokens(rest.slice(0, hits[0]) if len(hits) else rest, 2 * task)
+            if not len(hits):
+                return
+            rest, hits = rest.slice(hits[0]), hits[1:] - hits[0]
+        if len(hits):
+            yield from tell(_runs(rest.slice(0, hits[-1]), entity, names, penalty), -1)
+            rest = rest.slice(hits[-1])
+        yield from tokens(rest, 2 * task + 1)
 
     order = [*entity, "_start", *[f"_t_{c}" for c in tie]]
-    counts = rows.groupBy(entity[0]).count()
-    total = rows.count() if hot_events > 0 else 0
-    least = max(hot_events, total // 1000)
-    hot = [r[0] for r in counts.filter(F.col("count") > least).collect()] if total > least else []  # at most 1000
-    is_hot = F.col(entity[0]).isin(hot) if hot else F.lit(False)
-    runs = rows.filter(~is_hot).repartition(*entity).sortWithinPartitions(*order).mapInArrow(run, schema)
-    if hot:
-        split = rows.filter(is_hot).repartitionByRange(*entity, "_start").sortWithinPartitions(*order).mapInArrow(run, schema)
-
-        def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-            out: list[dict] = []
-            for r in pdf.sort_values("run_start").to_dict("records"):
-                a = out[-1] if out else None
-                if a and a["edge"] != r["edge"] and not a["missing"] and not r["missing"]:
-                    both = {k: a[k] + r[k] for k in ("n_events", "sum_squares", *(f"sum_{n}" for n in names))}
-                    sse = [x["sum_squares"] - sum(x[f"sum_{n}"] ** 2 for n in names) / x["n_events"] for x in (both, a, r)]
-                    if sse[0] - sse[1] - sse[2] < penalty - 1e-9:
-                        out[-1] = a | both | {"run_end": r["run_end"], "edge": r["edge"]}
-                        continue
-                out.append(r)
-            return pd.DataFrame(out, columns=pdf.columns)
-
-        runs = runs.unionByName(split.filter("edge < 0")).unionByName(split.filter("edge >= 0").groupBy(*entity).applyInPandas(stitch, schema))
+    hot = checkpointed(rows.groupBy(entity[0]).count().filter(F.col("count") > hot_events).select(entity[0], F.lit(True).alias("_hot")))
+    if hot.isEmpty():
+        runs = rows.repartition(*entity).sortWithinPartitions(*order).mapInArrow(run, schema)
+    else:
+        marked = lookup(rows, hot, [entity[0]], F.col("_start"))
+        cold = marked.filter(F.col("_hot").isNull()).drop("_hot").repartition(*entity).sortWithinPartitions(*order).mapInArrow(run, schema)
+        split = marked.filter("_hot").drop("_hot").repartitionByRange(*entity, "_start").sortWithinPartitions(*order).mapInArrow(lambda b: run(b, True), schema)
+
+        def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+            """The runs of one entity's tokens at the edges of ranges; what a range has between its two edges parts them."""
+            pdf = pdf.sort_values("run_start", ignore_index=True)
+            edge = pdf["edge"].to_numpy()
+            apart = np.concatenate(([False], (edge[1:] % 2 == 1) & (edge[1:] == edge[:-1] + 1)))
+            cells = {c: pdf[c] for c in entity} | {"_start": pdf["run_start"], "_end": pdf["run_end"], "_n": pdf["n_events"]} | {n: (pdf[f"sum_{n}"] / pdf["n_events"]).where(~pdf["missing"]) for n in names}
+            out = _runs(pa.Table.from_pandas(pd.DataFrame(cells), preserve_index=False), entity, names, penalty, apart).to_pandas()
+            return out.assign(edge=-1)[list(pdf.columns)]
+
+        runs = cold.unionByName(split.filter("edge < 0")).unionByName(split.filter("edge >= 0").groupBy(*entity).applyInPandas(joined, schema))
     return runs.select(*entity, "run_start", "run_end", "n_events", (F.col("run_end") - F.col("run_start")).alias("duration"), "missing", *[F.when(~F.col("missing"), F.col(f"sum__f_{c}") / F.col("n_events")).alias(f"mean_{c}") for c in features])

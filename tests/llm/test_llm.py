@@ -58,6 +58,31 @@ def test_a_long_run_stays_whole(spark):
     assert [(r.run_start, r.run_end, r.n_events, r.mean_t) for r in got] == [(0.0, 149_999.5, 150_000, 2.0)]
 
 
+def test_a_long_run_of_a_hot_entity_stays_whole(spark):
+    rows = spark.range(300_000).selectExpr("'a' AS id", "double(id) AS s", "id + 0.5D AS e", "2.0D AS t", "1.0D AS l")
+    for hot in (1000, 10_000_000):
+        got = runs.collapse_runs(rows.repartition(4), ["id"], "s", "e", ["t", "l"], 0.2, hot_events=hot).collect()
+        assert [(r.run_start, r.run_end, r.n_events, r.mean_t) for r in got] == [(0.0, 299_999.5, 300_000, 2.0)]
+
+
+@pytest.mark.parametrize("penalty", [0.2, 1.5, 4.0])
+def test_ranges_change_nothing(spark, penalty):
+    """Entities that are cut into ranges against the same ones whole: with many certain boundaries, few and none."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for name, stay, step in (("a", 0.9, 1), ("b", 0.6, 1), ("c", 0.9, 4), ("d", 0.995, 1)):
+        v = np.cumsum(rng.integers(-step, step + 1, (30_000, 2)) * (rng.random((30_000, 1)) > stay), axis=0).clip(0, 6).astype(float)
+        v[rng.random(30_000) < (0.0005 if name != "b" else 0)] = np.nan
+        rows.append(np.column_stack((np.full(30_000, ord(name)), np.arange(30_000), v)))
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame(np.vstack(rows), columns=["k", "s", "t", "l"])).selectExpr("char(int(k)) AS id", "s", "s + 0.5D AS e", "t", "l").repartition(6)
+    df = df.unionByName(df.filter("s % 1000 = 0"))  # delivered twice
+    key = lambda got: sorted((r.id, r.run_start, r.run_end, r.n_events, r.missing) for r in got)
+    whole, cut = (key(runs.collapse_runs(df, ["id"], "s", "e", ["t", "l"], penalty, hot_events=hot, most_tokens=200).collect()) for hot in (10_000_000, 1000))
+    assert cut == whole and len(cut) > 400
+
+
 def test_a_late_second_delivery_is_no_boundary(spark):
     rows = spark.range(5000).selectExpr("'a' AS id", "double(id) AS s", "id + 0.5D AS e", "2.0D AS t", "1.0D AS l", "0 AS n")
     again = rows.filter("s = 4998").selectExpr("id", "s", "e", "9.0D AS t", "l", "1 AS n")
