@@ -1,12 +1,15 @@
 """Evaluation texts in training text, by greedy string tiling.
 
 1. Seeds: a document and an item are joined on shared tokens. Of each passage the rarest words are its seeds; a
-   stretch that holds enough of them is looked at, and so is every run of ``run_words`` shared words.
-   Both are necessary conditions of a leak, so the join loses none.
-2. Tiling: on such a stretch the longest matches that overlap no match already marked are marked, found by running
-   Karp-Rabin hashes of falling length. The share of the passage under tiles must reach the threshold; this also
-   shows passages whose parts were put in another order.
-3. Check: an exact count of the passage's words that stand in their order within a stretch of bounded length.
+   stretch that holds enough of them, and then enough words of the passage, is tiled, and so is the surrounding of every run
+   of ``RUN_WORDS`` shared words. All are necessary conditions of a leak, so the join loses none.
+2. Tiling: the longest matches that overlap no match already marked are marked, found by running Karp-Rabin hashes of
+   falling length, down to ``TILE_WORDS`` words. A tile of ``RUN_WORDS`` words is a leak. So are tiles that stand in their
+   order, with the single words that fit in between, if they hold ``SHARE`` of the passage within a stretch of bounded
+   length, and half of that by themselves. Tiles that hold ``SHARE`` of the passage in another order are a passage whose parts were moved: that is reported
+   as such. What has its words scattered, too little of it under tiles, is neither.
+3. Check: tiles are marked greedily, so a pair that they don't prove a leak is counted once more, exactly: the words of
+   the passage that stand in their order within the stretch.
 """
 
 from __future__ import annotations
@@ -25,11 +28,15 @@ RUN_WORDS = 16
 #: Share of the passage's words that is one, in order within ``STRETCH`` times its length.
 SHARE = 0.7
 STRETCH = 1.5
-#: Items that are one query block: a larger item table is searched block by block.
-BLOCK_ITEMS = 500
+#: The shortest tile; single words count beside tiles only.
+TILE_WORDS = 3
+#: Characters of passages that are broadcast as one index: only a larger item table needs another pass over the documents.
+BLOCK_CHARS = 32_000_000
 #: Characters of texts that are read at once (a longer text is read alone), and words that are searched at once.
 READ_CHARS = 400_000
 PIECE_WORDS = 100_000
+#: Items times words up to which word counts are kept as a table.
+MOST_CELLS = 1 << 24
 #: Lengths up to which the tiling keeps its hashes.
 _SHORT = 64
 _PRIME = np.uint64(1_099_511_628_211)
@@ -104,6 +111,61 @@ def tile(passage: np.ndarray, text: np.ndarray, shortest: int = 1) -> list[tuple
     return tiles
 
 
+def chain(tiles: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The tiles of most words that stand in one order in both texts."""
+    tiles = sorted(tiles, key=lambda t: t[1])
+    best: list[tuple[int, int]] = []  # words up to and with the tile, and the tile before it
+    for n, (i, j, length) in enumerate(tiles):
+        before = max(((best[m][0], m) for m in range(n) if tiles[m][0] + tiles[m][2] <= i and tiles[m][1] + tiles[m][2] <= j), default=(0, -1))
+        best.append((before[0] + length, before[1]))
+    out, n = [], max(range(len(tiles)), key=lambda m: best[m][0], default=-1)
+    while n >= 0:
+        out.append(tiles[n])
+        n = best[n][1]
+    return out[::-1]
+
+
+def _between(p: list[int], t: list[int]) -> list[int]:
+    """Places in ``t`` of a longest common subsequence of two short stretches."""
+    rows = [[0] * (len(t) + 1)]
+    for x in p:
+        last = rows[-1]
+        row = [0]
+        for j, y in enumerate(t):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        rows.append(row)
+    i, j, out = len(p), len(t), []
+    while i and j:
+        if p[i - 1] == t[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(j)
+        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def words_in_order(passage: np.ndarray, text: np.ndarray, tiles: list[tuple[int, int, int]], most: int, least: int = 1) -> int:
+    """Words of the passage that the chain of its tiles, and single words between and beside them, holds in order within ``most`` words in a row.
+
+    0 if the tiles of the chain hold fewer than ``least`` words.
+    """
+    row = chain(tiles)
+    if sum(n for _, _, n in row) < least:
+        return 0
+    p, t = passage.tolist(), text.tolist()
+    i0, j0, _ = row[0]
+    i1, j1, n1 = row[-1]
+    a = max(0, j0 - most)
+    spots = [a + x for x in _between(p[:i0], t[a:j0])]
+    for (i, j, n), (i2, j2, _) in zip(row, [*row[1:], (len(p), j1 + n1 + most, 0)]):
+        spots += range(j, j + n)
+        spots += [j + n + x for x in _between(p[i + n : i2], t[j + n : j2])]
+    at = np.array(spots)
+    return int((np.searchsorted(at, at + most) - np.arange(len(at))).max())
+
+
 def full_windows(passage: np.ndarray, text: np.ndarray, most: int, need: int) -> list[int]:
     """Where the windows of ``most`` words begin that share ``need`` words with the passage, each word as often as both have it."""
     left: dict[int, int] = {}
@@ -178,14 +240,18 @@ class Items:
                 by_word[x].append(k)
         self.size = np.array([len(x) for x in by_word], np.int64)
         self.offset = np.cumsum(self.size) - self.size
-        self.member = np.array([k for x in by_word for k in x], np.int16)
+        self.member = np.array([k for x in by_word for k in x], np.int64)
         self.least = np.array([n for _, n in seeds], np.int64)
         self.span = np.array([self.most(len(w)) for w in self.words], np.int64)
         self.needs = np.array([self.need(len(w)) for w in self.words], np.int64)
         grams.sort()
         self.gram = np.array([g for g, _ in grams], np.uint64)
         self.gram_item = np.array([k for _, k in grams], np.int64)
-        self._tally: np.ndarray | None = None
+        # How often each item has each of its words, by item and word.
+        each = [np.unique(w, return_counts=True) for w in self.words]
+        self.has = np.concatenate([k * (len(self.known) + 1) + w for k, (w, _) in enumerate(each)]) if each else np.zeros(0, np.int64)
+        self.times = np.concatenate([n for _, n in each]) if each else np.zeros(0, np.int64)
+        self._table: np.ndarray | None = None
 
     @staticmethod
     def need(n: int) -> int:
@@ -195,32 +261,36 @@ class Items:
     def most(n: int) -> int:
         return int(STRETCH * n)
 
-    @property
-    def tally(self) -> np.ndarray:
-        """How often each item has each word; made where it is used."""
-        if self._tally is None:
-            self._tally = np.stack([np.bincount(w, minlength=len(self.known) + 1) for w in self.words]).astype(np.int32)
-        return self._tally
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, object, float, bool]]:
-        """(place of the text, item, share of the passage under tiles, whether it is a leak) for each item found near."""
+    def tally(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """How often each item has the word beside it."""
+        key = item * (len(self.known) + 1) + word
+        if (size := len(self.ids) * (len(self.known) + 1)) <= MOST_CELLS:  # few items: one table instead of a search
+            if self._table is None:
+                self._table = np.zeros(size, np.int32)
+                self._table[self.has] = self.times
+            return self._table[key]
+        at = np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)
+        return np.where(self.has[at] == key, self.times[at], 0)
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, object, float, str]]:
+        """(place of the text, item, share of the passage under tiles, ``found_by`` of ``find_leaks``) for each item found."""
         hashes, n_words = word_hashes(texts)
         if not len(hashes) or not self.ids:
             return []
         code = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         at = np.where(self.known[code] == hashes, code + 1, 0)
         doc = np.repeat(np.arange(len(texts)), n_words)
-        out: dict[tuple[int, int], tuple[float, bool]] = {}
+        out: dict[tuple[int, int], tuple[float, str]] = {}
         # Pieces overlap by more than any stretch that is a leak.
         over = max(int(self.span.max()), RUN_WORDS) + 1
         for b in range(0, max(1, len(at) - over), PIECE_WORDS):
             piece = slice(b, b + PIECE_WORDS + over)
             self._runs(at[piece], doc[piece], out)
             self._shares(at[piece], doc[piece], out)
-        return [(d, self.ids[k], round(share, 4), found) for (d, k), (share, found) in out.items()]
+        return [(d, self.ids[k], round(share, 4), by) for (d, k), (share, by) in out.items()]
 
     def _runs(self, at: np.ndarray, doc: np.ndarray, out: dict) -> None:
-        """Runs of ``RUN_WORDS`` words that a passage has too."""
+        """Where a passage has a run of ``RUN_WORDS`` words too, its surrounding is tiled."""
         h = rolling(at, RUN_WORDS)
         strange = np.concatenate(([0], np.cumsum(at == 0)))
         spots = np.flatnonzero((strange[RUN_WORDS:] == strange[: len(h)]) & (doc[RUN_WORDS - 1 :] == doc[: len(h)])) if len(h) else np.zeros(0, np.int64)
@@ -229,15 +299,34 @@ class Items:
             p = int(spots[s])
             for k in self.gram_item[int(lo[s]) : int(hi[s])].tolist():
                 key = (int(doc[p]), k)
-                w = self.words[k]
-                run = at[p : p + RUN_WORDS]
-                if not out.get(key, (0, False))[1] and any((w[i : i + len(run)] == run).all() for i in np.flatnonzero(w[: len(w) - len(run) + 1] == run[0]).tolist()):
-                    n = len(w)
+                if not _is_leak(out.get(key)):
+                    n = len(self.words[k])
                     near = slice(max(0, p - n), p + n + RUN_WORDS)
-                    out[key] = (sum(t[2] for t in tile(w, at[near][doc[near] == doc[p]], 3)) / n, True)
+                    self._decide(key, at[near][doc[near] == doc[p]], None, out)
+
+    def _decide(self, key: tuple[int, int], near: np.ndarray, begins: list[int] | None, out: dict) -> None:
+        """Tiles of the passage in ``near``, and what they say; ``begins``: where the windows begin that are to be checked for order."""
+        passage, most, need = self.words[key[1]], int(self.span[key[1]]), int(self.needs[key[1]])
+        tiles = tile(passage, near, TILE_WORDS)
+        share = sum(t[2] for t in tiles) / len(passage)
+        if any(t[2] >= RUN_WORDS for t in tiles):
+            by = "run"
+        elif begins is None:  # equal hashes of other words
+            return
+        elif words_in_order(passage, near, tiles, most, -(-need // 2)) >= need:
+            by = "tiles"
+        elif in_order(passage, near, most, need, begins):
+            by = "words"
+        elif share >= SHARE:
+            by = "moved"
+        else:
+            return
+        had = out.get(key)
+        if had is None or (_is_leak((share, by)), share) > (_is_leak(had), had[0]):
+            out[key] = (share, by)
 
     def _shares(self, at: np.ndarray, doc: np.ndarray, out: dict) -> None:
-        """Windows that share enough words with a passage, tiled, then checked for order."""
+        """Windows that share enough words with a passage are tiled."""
         k, lo, hi = self._stretches(at, doc)
         for capped in (False, True):  # first each word of the passage as often as it comes, then as often as both have it
             if not len(k):
@@ -247,7 +336,7 @@ class Items:
             part = np.repeat(np.arange(len(k)), length)
             spot = np.arange(len(part))
             word = at[spot + (lo - base)[part]]
-            cap = self.tally[k[part], word]
+            cap = self.tally(k[part], word)
             if capped:
                 e = np.flatnonzero(cap)
                 key = part[e] * (len(self.known) + 1) + word[e]
@@ -270,17 +359,11 @@ class Items:
             end = np.minimum(lo[mine] + full[last] - base[mine] + most[mine], hi[mine])
             k, lo, hi = k[mine], begin, end
         for m, begins in zip(mine.tolist(), np.split(full, first[1:])):
-            i = int(k[m])
-            key = (int(doc[lo[m]]), i)
-            if out.get(key, (0, False))[1]:
-                continue
-            begins = (begins - base[m]).tolist()
-            passage, most, need = self.words[i], int(self.span[i]), int(self.needs[i])
-            near = at[lo[m] + begins[0] : min(int(hi[m]), int(lo[m]) + begins[-1] + most)]
-            share = sum(t[2] for t in tile(passage, near)) / len(passage)
-            if share >= SHARE:
-                found = in_order(passage, near, most, need, [b - begins[0] for b in begins])
-                out[key] = max(out.get(key, (0.0, False)), (share, found), key=lambda x: (x[1], x[0]))
+            key = (int(doc[lo[m]]), int(k[m]))
+            if not _is_leak(out.get(key)):
+                begins = (begins - base[m]).tolist()
+                near = at[lo[m] + begins[0] : min(int(hi[m]), int(lo[m]) + begins[-1] + int(self.span[k[m]]))]
+                self._decide(key, near, [b - begins[0] for b in begins], out)
 
     def _stretches(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Items with the begins and ends of the parts of a text where enough of their seeds stand close together."""
@@ -304,25 +387,30 @@ class Items:
         return k, np.maximum(begin - s, np.searchsorted(doc, of, "left")), np.minimum(end + s + 1, np.searchsorted(doc, of, "right"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
-    """``doc_id, item_id, tile_share, is_leak``: items whose words a document holds, with the share under tiles.
+def _is_leak(found: tuple[float, str] | None) -> bool:
+    return found is not None and found[1] != "moved"
 
-    A leak holds ``RUN_WORDS`` words of the passage in a row, or ``SHARE`` of its words in their order within
-    ``STRETCH`` times its length; other rows are passages with so large a share in another order. Null and empty
-    texts and passages give nothing; equal items and equal documents are each reported; other columns don't matter.
 
-    The items are the stated query set: they go to the tasks in blocks of ``BLOCK_ITEMS``, and each document is read
-    once for each block. Word counts, which only rank the seeds, are those of the items themselves.
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id, tile_share, found_by, is_leak``: items that a document holds, with the share of the passage under tiles.
+
+    A leak holds ``RUN_WORDS`` words of the passage in a row (``found_by``: run), or ``SHARE`` of its words in their order
+    within ``STRETCH`` times its length (tiles, or words where only the exact count shows it); other rows hold
+    ``SHARE`` of it under tiles, but in another order (moved). Null and empty texts and passages give nothing; equal items and
+    equal documents are each reported; other columns don't matter.
+
+    The items are the stated query set: their index is broadcast, as one up to ``block_chars`` characters of passages, and each
+    document is read once for each such block. Word counts, which only rank the seeds, are those of the items themselves.
     """
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0), "doc_id")
     id_type, item_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, tile_share double, is_leak boolean"
-    blocks = -(-items.count() // BLOCK_ITEMS)
+    schema = f"doc_id {id_type}, item_id {item_type}, tile_share double, found_by string"
+    blocks = max(1, -(-(items.agg(F.sum(F.length(passage))).first()[0] or 0) // block_chars))
     found = spark.createDataFrame([], schema)
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b) if blocks > 1 else items
-        got = part.select(item_id, passage).collect()  # about BLOCK_ITEMS passages
+        got = part.select(item_id, passage).filter(F.length(passage) > 0).collect()  # about block_chars characters
         ready = spark.sparkContext.broadcast(Items([r[0] for r in got], [r[1] for r in got]))
 
         def run(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
@@ -335,9 +423,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                     if size >= READ_CHARS or end == len(texts):
                         out += [(ids[begin + i], *hit) for i, *hit in search(texts[begin:end])]
                         begin, size = end, 0
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "tile_share", "is_leak"])
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "tile_share", "found_by"])
 
         found = found.unionByName(rows.mapInPandas(run, schema))
-    return found
-
-
+    return found.withColumn("is_leak", F.col("found_by") != "moved")

@@ -43,6 +43,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("is_leak").select("doc_id", "item_id")
 
 
+def p7_moved(spark: SparkSession, d: str) -> DataFrame:
+    """Passages whose parts stand in a text in another order, so that they are no leak: the share of the passage under tiles."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("NOT is_leak").select("doc_id", "item_id", "tile_share")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).filter("level >= 4").select("doc_id")
 
@@ -51,7 +56,7 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading_level(table(spark, d, "documents"), table(spark, d, "level_labels"))
 
 
-QUERIES = {q.__name__: q for q in (p5_found, p5_runs, p5_near_runs, p6_containers, p7_found, p8_found, p8_levels)}
+QUERIES = {q.__name__: q for q in (p5_found, p5_runs, p5_near_runs, p6_containers, p7_found, p7_moved, p8_found, p8_levels)}
 
 _RUNS = """
 WITH n AS (SELECT facets_id, regexp_replace(trim(chrom, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)), '^chr', '', 'i') AS chrom, loc_start, loc_end,

@@ -11,7 +11,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+#: A tag of any length; one of more than 200 characters has an attribute. The patterns never go back, so they are linear.
+TAG = r"</?[A-Za-z](?:[^<>]{0,200}+>|(?=[^<>]*=)[^<>]*+>)"
+_TAG = re.compile(TAG)
 _PAGE = re.compile(r"^[ \t]*\(p\. ?\d+\)[ \t]*$", re.M)
 _WORD = re.compile(r"[^\W_]+")
 #: Soft hyphens, zero-width characters and byte order marks join what stands around them.
@@ -88,7 +90,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def letter_words(text: Column) -> Column:
     """The words of letters only, in lower case, as an array; tags and entities are left out. Null for null."""
-    bare = F.regexp_replace(F.regexp_replace(text, "</?[A-Za-z][^<>]{0,200}>", " "), "&#?[A-Za-z0-9]{1,8};", " ")
+    bare = F.regexp_replace(F.regexp_replace(text, TAG, " "), "&#?[A-Za-z0-9]{1,8};", " ")
     return F.filter(F.split(F.lower(bare), r"[^\p{L}\p{M}]+"), lambda w: w != "")
 
 

@@ -141,6 +141,42 @@ def test_tiles_do_not_overlap():
     assert sorted(x[2] for x in got) == [1, 3, 3]
 
 
+def test_long_tags_are_no_words(spark):
+    words_of = [f"word{i}" for i in range(30)]
+    tag = '<a href="' + "x" * 900 + ' y" title=z>'
+    assert words(f" {tag} ".join(words_of)) == words_of
+    assert words("a <b and " + "c " * 300 + "> d")[:3] == ["a", "b", "and"]  # no tag: too long for one without an attribute
+    assert words("<a =" * 50_000) == ["a"] * 50_000
+    items = spark.createDataFrame([(1, " ".join(words_of))], "item_id long, passage string")
+    docs = spark.createDataFrame([(7, f" {tag} ".join(words_of))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.found_by) for r in leaks.find_leaks(docs, items).collect()] == [(7, 1, "run")]
+    from segscan.llm.words import letter_words
+
+    assert docs.select(F.size(letter_words(F.col("text")))).first()[0] == 30
+
+
+def test_tiles_decide(spark):
+    p = [f"w{i}" for i in range(40)]
+    rng = random.Random(6)
+    thirds = [w for k in range(0, 40, 5) for w in (*p[k : k + 4], f"x{k}")]  # four of five words, in order
+    moved = [w for k in (30, 20, 10, 0) for w in p[k : k + 10]]  # parts in another order
+    scattered = rng.sample(p, 40)  # all words, in no order
+    comb = [w for x in p[:29] for w in (x, "y")]  # 29 of 40 words in order, but each by itself: no tile
+    docs = [(1, p), (2, thirds), (3, moved), (4, scattered), (5, comb), (6, p[:27])]
+    got = leaks.find_leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(0, " ".join(p))], "item_id long, passage string"))
+    assert {(r.doc_id, r.found_by, r.tile_share) for r in got.collect()} == {(1, "run", 1.0), (2, "tiles", 0.8), (3, "moved", 1.0), (5, "words", 0.0), (6, "run", 0.675)}
+
+
+def test_many_items_are_one_pass(spark, small):
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "eval_items"))
+    many = items.crossJoin(spark.range(6)).selectExpr("item_id * 10 + id AS item_id", "passage")  # beyond 1,000
+    one, blocks = leaks.find_leaks(docs, many), leaks.find_leaks(docs, many, block_chars=100_000)
+    rows = [sorted((r.doc_id, r.item_id, r.found_by) for r in x.collect()) for x in (one, blocks)]
+    assert rows[0] == rows[1] and len(rows[0]) > 0
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas")
+    assert (count(one), count(blocks) > 1) == (1, True)
+
+
 def test_leaks_are_those_of_brute_force(spark, small):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
