@@ -3,7 +3,9 @@
 1. A word's grade comes from its use in graded texts: per level its share of all words, these shares scaled to sum
    to one, and of that distribution the level by which the first ``ACQUIRED`` of its use has been met.
 2. A document is described by quantiles of the grades of its known words, whatever its language.
-3. Least squares on the graded documents turn the quantiles into a score, and four cuts turn the score into a level.
+3. Least squares on the graded documents turn the quantiles into a score, and four cuts turn the score into a level. For
+   this fit the graded documents are described by grades from the other graded documents only (``FOLDS`` parts, each
+   left out in turn), as all documents without a grading are.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segscan.llm.words import letter_words, spread
+from segscan.sources.tables import checkpointed
 
 LEVELS = (1, 2, 3, 4, 5)
 #: Part of a word's use by which it counts as acquired, and graded documents that a known word must be in.
@@ -23,6 +26,8 @@ ACQUIRED, LEAST_DOCS = 0.25, 3
 QUANTILES = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97)
 #: Graded documents that the calibration is fitted on at most (a sample by hash beyond it).
 MOST_GRADED = 20_000
+#: Parts of the graded documents for the calibration.
+FOLDS = 5
 #: Known words up to which their table is broadcast; a larger one is joined by shuffle.
 BROADCAST_WORDS = 300_000
 
@@ -46,13 +51,17 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull() & F.col("level_no").between(1, 5)).groupBy("doc_id").agg(F.avg("level_no").alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_GRADED)
 
 
-def word_grades(docs: DataFrame, graded: DataFrame) -> DataFrame:
-    """``word, grade, n_docs`` of the words in at least ``LEAST_DOCS`` graded documents."""
-    each = docs.join(graded, "doc_id").select("doc_id", F.least(F.lit(5), F.round("level")).cast("int").alias("level"), F.explode(letter_words(F.col("text"))).alias("word"))
-    in_doc = each.groupBy("doc_id", "level", "word").agg(F.count("*").alias("n"))
-    totals = in_doc.agg(*[F.greatest(F.coalesce(F.sum(F.when(F.col("level") == k, F.col("n"))), F.lit(0)), F.lit(1)).alias(f"total_{k}") for k in LEVELS])
-    per = in_doc.groupBy("word").agg(F.count("*").alias("n_docs"), *[F.coalesce(F.sum(F.when(F.col("level") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in LEVELS]).filter(F.col("n_docs") >= LEAST_DOCS)
-    rates = per.crossJoin(F.broadcast(totals)).withColumns({f"r_{k}": F.col(f"n_{k}") / F.col(f"total_{k}") for k in LEVELS})  # totals: one row
+def graded_words(docs: DataFrame, graded: DataFrame) -> DataFrame:
+    """``doc_id, fold, level, word, n``: how often each graded document has each word; ``level`` is a whole number here."""
+    texts = docs.join(F.broadcast(graded), "doc_id")  # at most MOST_GRADED rows
+    each = texts.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), F.least(F.lit(5), F.round("level")).cast("int").alias("level"), F.explode(letter_words(F.col("text"))).alias("word"))
+    return each.groupBy("doc_id", "fold", "level", "word").agg(F.count("*").alias("n"))
+
+
+def _acquired(per: DataFrame, totals: DataFrame, on: list[str]) -> DataFrame:
+    """``on`` and ``grade`` of the words in at least ``LEAST_DOCS`` documents. ``per``: n_docs, n_1 to n_5; ``totals``: total_1 to total_5."""
+    known = per.filter(F.col("n_docs") >= LEAST_DOCS)
+    rates = (known.join(F.broadcast(totals), "fold") if "fold" in on else known.crossJoin(F.broadcast(totals))).withColumns({f"r_{k}": F.col(f"n_{k}") / F.greatest(F.col(f"total_{k}"), F.lit(1)) for k in LEVELS})  # totals: one row, or one per fold
     whole = sum((F.col(f"r_{k}") for k in LEVELS), F.lit(0.0))
     grade, upto = None, F.lit(0.0)
     for k in LEVELS:
@@ -61,22 +70,36 @@ def word_grades(docs: DataFrame, graded: DataFrame) -> DataFrame:
         here = F.lit(float(k - 1)) + (F.lit(ACQUIRED) - upto) / share
         grade = F.when(met, here) if grade is None else grade.when(met, here)
         upto = upto + share
-    return rates.select("word", F.round(grade, 2).alias("grade"), "n_docs")
+    return rates.select(*on, F.round(grade, 2).alias("grade"))
 
 
-def describe(docs: DataFrame, grades: DataFrame) -> DataFrame:
-    """``doc_id, n_known, quantiles`` (null without a known word), one row per document.
+def word_grades(used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``word, grade`` from all graded documents, and ``word, fold, grade`` from those of all folds but one.
 
-    Words are looked up where the text is read and counted per grade before the shuffle.
+    ``used``: see ``graded_words``. Everything is counted per word and fold once; a fold is left out by taking its counts away.
     """
-    each = docs.select("doc_id", F.explode_outer(letter_words(F.col("text"))).alias("word"))
-    known = F.broadcast(grades) if grades.count() <= BROADCAST_WORDS else grades
-    return each.join(known.select("word", "grade"), "word", "left").groupBy("doc_id").agg(F.count("grade").alias("n_known"), F.percentile("grade", F.array(*[F.lit(q) for q in QUANTILES])).alias("quantiles"))
-
-
-def calibrate(described: DataFrame, graded: DataFrame) -> Calibration:
+    counts = [F.count("*").alias("n_docs"), *[F.coalesce(F.sum(F.when(F.col("level") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in LEVELS]]
+    names = ["n_docs", *[f"n_{k}" for k in LEVELS]]
+    per_fold = used.groupBy("word", "fold").agg(*counts)
+    packed = per_fold.groupBy("word").agg(*[F.sum(c).alias(c) for c in names], F.collect_list(F.struct("fold", *names)).alias("_f"))  # FOLDS entries at most
+    in_fold = used.groupBy("fold").agg(*[F.coalesce(F.sum(F.when(F.col("level") == k, F.col("n"))), F.lit(0)).alias(f"total_{k}") for k in LEVELS])
+    totals = in_fold.agg(*[F.coalesce(F.sum(f"total_{k}"), F.lit(0)).alias(f"total_{k}") for k in LEVELS])
+    others = in_fold.select("fold", *[F.col(f"total_{k}").alias(f"_{k}") for k in LEVELS]).crossJoin(F.broadcast(totals)).select("fold", *[(F.col(f"total_{k}") - F.col(f"_{k}")).alias(f"total_{k}") for k in LEVELS])
+    # Only a fold that has the word can ask for its grade.
+    without = packed.select("word", *names, F.explode("_f").alias("_x")).select("word", F.col("_x.fold").alias("fold"), *[(F.col(c) - F.col(f"_x.{c}")).alias(c) for c in names])
+    return _acquired(packed, totals, ["word"]), _acquired(without, others, ["word", "fold"])
+
+
+def described(each: DataFrame, known: DataFrame, on: list[str], n: str | None = None) -> DataFrame:
+    """``doc_id, n_known, quantiles`` (null without a known word) of the documents whose words are the rows of ``each``."""
+    looked = each.join(known, on, "left")
+    n_known, weight = (F.count("grade"), ()) if n is None else (F.coalesce(F.sum(F.when(F.col("grade").isNotNull(), F.col(n))), F.lit(0)), (F.col(n),))
+    return looked.groupBy("doc_id").agg(n_known.alias("n_known"), F.percentile("grade", F.array(*[F.lit(q) for q in QUANTILES]), *weight).alias("quantiles"))
+
+
+def calibrate(graded_docs: DataFrame, graded: DataFrame) -> Calibration:
     """Fitted on the graded documents that have known words (at most ``MOST_GRADED``); without any, level 1 for all."""
-    rows = described.filter("n_known > 0").join(graded, "doc_id").select("quantiles", "level").collect()
+    rows = graded_docs.filter("n_known > 0").join(F.broadcast(graded), "doc_id").orderBy("doc_id").select("quantiles", "level").collect()
     if not rows:
         return Calibration([0.0] * (len(QUANTILES) + 1), [])
     x = np.column_stack((np.ones(len(rows)), np.array([r[0] for r in rows])))
@@ -103,9 +126,15 @@ def reading_level(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``docs``: doc_id, text. ``labels``: doc_id, level_no; gradings of unknown documents and outside 1 to 5 are left
     out, several of one document are averaged. Rows with the same doc_id are one document. Other columns don't matter.
+    The documents are read twice, once for the graded ones and once to be described; words are looked up where the text is
+    read and counted per grade before the shuffle.
     """
     docs = spread(docs.select("doc_id", "text"), "doc_id")
-    graded = grades_of(labels)
-    grades = word_grades(docs, graded)
-    model = calibrate(describe(docs.join(graded.select("doc_id"), "doc_id", "left_semi"), grades), graded)
-    return describe(docs, grades).select("doc_id", F.when(F.col("n_known") > 0, model.level(F.col("quantiles"))).alias("level"), "n_known")
+    graded = checkpointed(grades_of(labels))
+    used = checkpointed(graded_words(docs, graded))
+    grades, without = word_grades(used)
+    grades = checkpointed(grades)
+    model = calibrate(described(used, without, ["word", "fold"], "n"), graded)
+    known = F.broadcast(grades) if grades.count() <= BROADCAST_WORDS else grades
+    each = docs.select("doc_id", F.explode_outer(letter_words(F.col("text"))).alias("word"))
+    return described(each, known, ["word"]).select("doc_id", F.when(F.col("n_known") > 0, model.level(F.col("quantiles"))).alias("level"), "n_known")
