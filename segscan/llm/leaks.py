@@ -64,6 +64,12 @@ def rolling(ids: np.ndarray, length: int) -> np.ndarray:
                 factor = factor * factor
 
 
+def _shared(few: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places in ``many`` of values that ``few`` has too."""
+    few = np.sort(few)
+    return np.flatnonzero(few[np.minimum(np.searchsorted(few, many), len(few) - 1)] == many) if len(few) else np.zeros(0, np.int64)
+
+
 def tile(passage: np.ndarray, text: np.ndarray, shortest: int = 1) -> list[tuple[int, int, int]]:
     """Tiles (place in passage, place in text, length), longest first, none overlapping another in either text."""
     free_p, free_t = np.ones(len(passage), bool), np.ones(len(text), bool)
@@ -72,7 +78,7 @@ def tile(passage: np.ndarray, text: np.ndarray, shortest: int = 1) -> list[tuple
     levels: list[tuple[np.ndarray, np.ndarray]] = []
     one_p, one_t = scatter(passage), scatter(text)
     hp, ht = one_p, one_t
-    while len(levels) < _SHORT and len(hp) and len(ht) and not set(hp.tolist()).isdisjoint(ht.tolist()):
+    while len(levels) < _SHORT and len(hp) and len(ht) and len(_shared(hp, ht)):
         levels.append((hp, ht))
         k = len(levels)
         with np.errstate(over="ignore"):
@@ -86,28 +92,27 @@ def tile(passage: np.ndarray, text: np.ndarray, shortest: int = 1) -> list[tuple
                 length = mid
             else:
                 hi = mid - 1
-    while length >= shortest:
+    while length >= max(1, shortest):
         hp, ht = levels[length - 1] if length <= _SHORT else (rolling(passage, length), rolling(text, length))
         used_p, used_t = (np.concatenate(([0], np.cumsum(~f))) for f in (free_p, free_t))
         open_p = np.flatnonzero(used_p[length:] == used_p[:-length])
         open_t = np.flatnonzero(used_t[length:] == used_t[:-length])
-        mine = hp[open_p].tolist()
-        wanted = set(mine)
+        spots = open_t[_shared(hp[open_p], ht[open_t])]
         where: dict[int, list[int]] = {}
-        for j, h in zip(open_t.tolist(), ht[open_t].tolist()):
-            if h in wanted:
-                where.setdefault(h, []).append(j)
-        if where:
-            for i, h in zip(open_p.tolist(), mine):
-                if h not in where or not free_p[i : i + length].all():
-                    continue
-                for j in where[h]:
-                    if free_t[j : j + length].all() and (passage[i : i + length] == text[j : j + length]).all():
-                        free_p[i : i + length] = False
-                        free_t[j : j + length] = False
-                        tiles.append((i, j, length))
-                        break
-        length -= 1
+        for j, h in zip(spots.tolist(), ht[spots].tolist()):
+            where.setdefault(h, []).append(j)
+        starts = open_p[_shared(ht[spots], hp[open_p])]
+        for i, h in zip(starts.tolist(), hp[starts].tolist()):
+            if not free_p[i : i + length].all():
+                continue
+            for j in where[h]:
+                if free_t[j : j + length].all() and (passage[i : i + length] == text[j : j + length]).all():
+                    free_p[i : i + length] = False
+                    free_t[j : j + length] = False
+                    tiles.append((i, j, length))
+                    break
+        # No tile is longer than what is free in a row.
+        length = min([length - 1, *(int(np.diff(np.flatnonzero(np.concatenate(([True], ~f, [True])))).max()) - 1 for f in (free_p, free_t))])
     return tiles
 
 
@@ -199,16 +204,22 @@ def in_order(passage: np.ndarray, text: np.ndarray, most: int, need: int, begins
     for i, x in enumerate(passage.tolist()):
         masks[x] = masks.get(x, 0) | 1 << i
     row = [masks.get(x, 0) for x in text.tolist()]
-    begins = full_windows(passage, text, most, need) if begins is None else begins
-    for at, begin in enumerate(begins):
-        if not row[begin] and at + 1 < len(begins) and begins[at + 1] == begin + 1:
-            continue  # the next window holds all that this one does
+
+    def common(part: list[int]) -> int:
         v = full  # bit-parallel longest common subsequence
-        for m in row[begin : begin + most]:
+        for m in part:
             if m:
                 u = v & m
                 v = ((v + u) | (v - u)) & full
-        if n - v.bit_count() >= need:
+        return n - v.bit_count()
+
+    if common(row) < need:  # no window has more than all of them
+        return False
+    begins = full_windows(passage, text, most, need) if begins is None else begins
+    for at, begin in enumerate(begins):
+        if not row[begin] and at + 1 < len(begins) and begins[at + 1] == begin + 1:
+            continue  # the next window holds all that this one does
+        if common(row[begin : begin + most]) >= need:
             return True
     return False
 
@@ -328,36 +339,28 @@ class Items:
     def _shares(self, at: np.ndarray, doc: np.ndarray, out: dict) -> None:
         """Windows that share enough words with a passage are tiled."""
         k, lo, hi = self._stretches(at, doc)
-        for capped in (False, True):  # first each word of the passage as often as it comes, then as often as both have it
-            if not len(k):
-                return
-            length, most = hi - lo, self.span[k]
-            base = np.cumsum(length) - length
-            part = np.repeat(np.arange(len(k)), length)
-            spot = np.arange(len(part))
-            word = at[spot + (lo - base)[part]]
-            cap = self.tally(k[part], word)
-            if capped:
-                e = np.flatnonzero(cap)
-                key = part[e] * (len(self.known) + 1) + word[e]
-                order = np.argsort(key, kind="stable")
-                key, place = key[order], e[order]
-                # A word counts in the windows that begin after its copy so many copies before it as the passage has.
-                before = np.arange(len(e)) - cap[place]
-                same = (before >= 0) & (key[np.maximum(before, 0)] == key)
-                since = np.maximum(np.where(same, place[np.maximum(before, 0)] + 1, 0), np.maximum(place - most[part[place]] + 1, base[part[place]]))
-                count = np.cumsum(np.bincount(since, minlength=len(part) + 1) - np.bincount(place + 1, minlength=len(part) + 1))[: len(part)]
-            else:
-                upto = np.concatenate(([0], np.cumsum(cap > 0)))
-                count = upto[np.minimum(spot + most[part], (base + length)[part])] - upto[:-1]
-            full = np.flatnonzero((count >= self.needs[k][part]) & (spot - base[part] <= np.maximum(0, length - most)[part]))
-            mine, first = np.unique(part[full], return_index=True)
-            if capped:
-                break
-            last = np.concatenate((first[1:], [len(full)])) - 1
-            begin = lo[mine] + full[first] - base[mine]
-            end = np.minimum(lo[mine] + full[last] - base[mine] + most[mine], hi[mine])
-            k, lo, hi = k[mine], begin, end
+        if not len(k):
+            return
+        length, most = hi - lo, self.span[k]
+        base = np.cumsum(length) - length
+        part = np.repeat(np.arange(len(k)), length)
+        word = at[np.arange(len(part)) + (lo - base)[part]]
+        cap = self.tally(k[part], word)
+        e = np.flatnonzero(cap)
+        of = part[e]
+        key = of * (len(self.known) + 1) + word[e]
+        order = np.argsort(key, kind="stable")
+        key, place, of = key[order], e[order], of[order]
+        # A word counts in the windows that begin after its copy so many copies before it as the passage has.
+        before = np.arange(len(e)) - cap[place]
+        same = (before >= 0) & (key[np.maximum(before, 0)] == key)
+        since = np.maximum(np.where(same, place[np.maximum(before, 0)] + 1, 0), np.maximum(place - most[of] + 1, base[of]))
+        count = np.cumsum(np.bincount(since, minlength=len(part) + 1) - np.bincount(place + 1, minlength=len(part) + 1))[: len(part)]
+        full = np.flatnonzero(count >= self.needs[k][part])
+        of = part[full]
+        last = full - base[of] <= np.maximum(0, length - most)[of]
+        full, of = full[last], of[last]
+        mine, first = np.unique(of, return_index=True)
         for m, begins in zip(mine.tolist(), np.split(full, first[1:])):
             key = (int(doc[lo[m]]), int(k[m]))
             if not _is_leak(out.get(key)):
