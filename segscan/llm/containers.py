@@ -1,15 +1,14 @@
 """Filling containers of fixed capacity with texts, by a local search of exchanges.
 
 Texts are counted in tokens where they are read, spread by hash over blocks of many containers, and each block is
-filled by itself: first each text goes to the fullest container with room, then moves, one-for-one and two-for-one
-exchanges carry tokens from the emptiest container to fuller ones. Each step raises the sum of squared fills, so the
-search ends; a container that becomes empty is saved.
+filled by itself: the texts are first put one after the other, a new container begun where one does not fit. Then moves,
+one-for-one and two-for-one exchanges carry tokens from the emptiest container to fuller ones. Each step raises the sum of
+squared fills, so the search ends; a container that becomes empty is saved.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,13 +28,19 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 
 @cache
-def encoding(path: str):
-    """The tokenizer of a vocabulary file of ranks, loaded once per worker."""
+def _tokenizer(ranks: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+def encoding(vocabulary: str | bytes):
+    """The tokenizer of a vocabulary file of ranks, or of its content, made once per worker."""
+    if isinstance(vocabulary, str):
+        with open(vocabulary, "rb") as f:
+            vocabulary = f.read()
+    return _tokenizer(vocabulary)
 
 
 def pieces(n_tokens: int, capacity: int) -> list[int]:
@@ -44,18 +49,13 @@ def pieces(n_tokens: int, capacity: int) -> list[int]:
 
 
 def first_filling(sizes: list[int], capacity: int) -> list[int]:
-    """The container of each item in the given order: the fullest one with room, else a new one."""
-    slack: list[tuple[int, int]] = []
-    out, used = [], 0
+    """The container of each item in the given order: the last one begun, or a new one where it has no room."""
+    out, used, room = [], -1, 0
     for x in sizes:
-        i = bisect.bisect_left(slack, (x, -1))
-        if i < len(slack):
-            room, b = slack.pop(i)
-        else:
-            room, b, used = capacity, used, used + 1
-        out.append(b)
-        if room > x:
-            bisect.insort(slack, (room - x, b))
+        if used < 0 or x > room:
+            used, room = used + 1, capacity
+        out.append(used)
+        room -= x
     return out
 
 
@@ -114,12 +114,15 @@ def fill_containers(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     """``doc_id, piece, n_tokens, container_id``: one row per text, several (piece from 0) for one longer than the capacity.
 
     ``docs``: doc_id, text. Null and empty texts take no room and give no row; equal rows each get a place; other
-    columns don't matter. No container holds more than ``capacity`` tokens.
+    columns don't matter. No container holds more than ``capacity`` tokens. The vocabulary (a file of the driver, about
+    a megabyte) goes with the job.
     """
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(vocabulary)
+        enc = encoding(ranks.value)
         for pdf in batches:
             rows = [(d, k, n) for d, t in zip(pdf["doc_id"], pdf["text"]) for k, n in enumerate(pieces(len(enc.encode_ordinary(t)), capacity))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "n_tokens"])
