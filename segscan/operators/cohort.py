@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segscan.operators.running import cumulate
+
 
 def kaplan_meier(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """``group, time, n_risk, n_event, n_censored, survival`` per distinct time.
@@ -24,14 +26,12 @@ def kaplan_meier(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
 def step_up(df: DataFrame, p: str, out: str = "q") -> DataFrame:
     """Adds the false discovery rate by the step-up rule over all rows with a p value; null stays null.
 
-    Equal p values share the highest rank. Distinct p values are counted first, so the one ordered window sees those.
+    Equal p values share the highest rank. Distinct p values are counted first, then ranked by ranges.
     """
     counts = df.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.crossJoin(F.broadcast(total)).withColumn("_rank", F.sum("_n").over(up))  # total: one row
-    adjusted = ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_total") / F.col("_rank")).over(down))).select(p, out)
+    ranked = cumulate(counts, [], F.col(p), _rank=("sum", "_n")).crossJoin(F.broadcast(total)).withColumn("_q", F.col(p) * F.col("_total") / F.col("_rank"))  # total: one row
+    adjusted = cumulate(ranked, [], -F.col(p), _least=("min", "_q")).select(p, F.least(F.lit(1.0), F.col("_least")).alias(out))
     return df.join(adjusted, p, "left")
 
 
@@ -44,8 +44,7 @@ def confusion(df: DataFrame, call: Column, truth: Column) -> DataFrame:
 def sweep(df: DataFrame, score: str, truth: Column) -> DataFrame:
     """``threshold, tp, fp``, cumulated from the highest distinct score down; null scores are never called."""
     per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.coalesce(truth, F.lit(False))).alias("_t"), F.count("*").alias("_n"))
-    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select("threshold", F.sum("_t").over(down).alias("tp"), (F.sum("_n").over(down) - F.sum("_t").over(down)).alias("fp"))
+    return cumulate(per, [], -F.col("threshold"), tp=("sum", "_t"), n=("sum", "_n")).select("threshold", "tp", (F.col("n") - F.col("tp")).alias("fp"))
 
 
 def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
@@ -57,10 +56,10 @@ def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     per = df.select(F.col(group).alias("group"), F.col(time).alias("time"), F.col(event).cast("long").alias("e")).dropna().groupBy("group", "time").agg(F.sum("e").alias("d"), F.count("*").alias("c"))
     # Over all distinct times: hazard d / n and the two parts of the variance, summed from the start. A row of a group
     # brings all that was summed up to its own time, so no group is paired with all times.
-    upto = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    times = per.groupBy("time").agg(F.sum("d").alias("_d"), F.sum("c").alias("_c")).withColumn("_n", F.sum("_c").over(Window.orderBy(F.col("time").desc())))
+    times = cumulate(per.groupBy("time").agg(F.sum("d").alias("_d"), F.sum("c").alias("_c")), [], -F.col("time"), _n=("sum", "_c"))
     w = F.when(F.col("_n") > 1, F.col("_d") * (F.col("_n") - F.col("_d")) / (F.col("_n") - 1)).otherwise(0.0)
-    times = times.select("time", F.sum(F.col("_d") / F.col("_n")).over(upto).alias("_h"), F.sum(w / F.col("_n")).over(upto).alias("_a"), F.sum(w / F.col("_n") / F.col("_n")).over(upto).alias("_b"))
+    times = times.select("time", (F.col("_d") / F.col("_n")).alias("_h1"), (w / F.col("_n")).alias("_a1"), (w / F.col("_n") / F.col("_n")).alias("_b1"))
+    times = cumulate(times, [], F.col("time"), _h=("sum", "_h1"), _a=("sum", "_a1"), _b=("sum", "_b1")).select("time", "_h", "_a", "_b")
     along = Window.partitionBy("group").orderBy("time")
     own = per.join(times, "time").withColumns({"_g": F.sum("c").over(Window.partitionBy("group").orderBy(F.col("time").desc())), "_step": F.col("_b") - F.coalesce(F.lag("_b").over(along), F.lit(0.0))})
     out = own.groupBy("group").agg(F.sum("c").alias("n"), F.sum("d").alias("observed"), F.sum(F.col("c") * F.col("_h")).alias("expected"), (F.sum(F.col("c") * F.col("_a")) - F.sum(F.col("_step") * F.col("_g") * F.col("_g"))).alias("_v"))
@@ -90,9 +89,8 @@ def feature_screen(df: DataFrame, features: list[str], truth: Column, least: int
     long = df.select(F.coalesce(truth, F.lit(False)).alias("_t"), pairs.alias("_p")).select("_t", "_p.*").filter("x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')")
     per = long.groupBy("feature", "x").agg(F.count_if("_t").alias("p"), F.count("*").alias("c"))
     both = per.select("feature", "p", "c", F.explode(F.array(F.struct(F.lit("high").alias("direction"), (-F.col("x")).alias("o")), F.struct(F.lit("low").alias("direction"), F.col("x").alias("o")))).alias("_s")).select("feature", "p", "c", "_s.*")
-    way = Window.partitionBy("feature", "direction")
-    upto = way.orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = both.withColumns({"tp": F.sum("p").over(upto), "m": F.sum("c").over(upto), "np": F.sum("p").over(way), "n": F.sum("c").over(way)}).filter(f"n >= {least} AND np > 0 AND np < n")
+    sizes = both.groupBy("feature", "direction").agg(F.sum("p").alias("np"), F.sum("c").alias("n")).filter(f"n >= {least} AND np > 0 AND np < n")  # two rows per feature
+    r = cumulate(both, ["feature", "direction"], F.col("o"), tp=("sum", "p"), m=("sum", "c")).join(F.broadcast(sizes), ["feature", "direction"])
     per_way = r.groupBy("feature", "direction").agg(
         F.max("n").alias("n"), F.max("np").alias("n_pos"), F.sum(F.col("p") / F.col("np") * F.col("tp") / F.col("m")).alias("average_precision"),
         F.sum((F.col("c") - F.col("p")) * (F.col("tp") - F.col("p") / 2) / (F.col("np") * (F.col("n") - F.col("np")))).alias("auroc"),

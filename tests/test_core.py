@@ -197,6 +197,23 @@ def test_lookup_beyond_the_broadcast(spark):
         assert lookup(rows, keyed, ["k"], F.col("i"), "left_anti", most).count() == 2
 
 
+def test_running_totals_in_ranges(spark):
+    from pyspark.sql import Window
+
+    from segscan.operators.running import cumulate
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.choice(["a", "a", "b", None]), i, rng.randint(-9, 9) if i % 7 else None) for i in range(500)], "g string, o int, v int")
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        for by in ([], ["g"]):
+            got = {r.o: (r.s, r.m, r.c) for r in cumulate(df, by, -F.col("o"), s=("sum", "v"), m=("min", "v"), c=("count", "v")).collect()}
+            w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col("o").desc())
+            assert got == {r.o: (r.s, r.m, r.c) for r in df.select("o", F.sum("v").over(w).alias("s"), F.min("v").over(w).alias("m"), F.count("v").over(w).alias("c")).collect()}
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert cumulate(df.limit(0), [], F.col("o"), s=("sum", "v")).count() == 0
+
+
 def test_survival_and_step_up(spark):
     km = stats.kaplan_meier(spark.createDataFrame([(1, 1, "g"), (2, 1, "g"), (2, 0, "g"), (3, 1, "g"), (None, 1, "g")], "t int, e int, g string"), "t", "e", "g")
     assert [round(r.survival, 6) for r in km.orderBy("time").collect()] == [0.75, 0.5, 0.0]
