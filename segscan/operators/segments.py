@@ -87,6 +87,23 @@ def segment_features(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "
     return out.withColumns({"oscillation_excess": excess, **{f"chain_k{k}": longest_run(F.col("_states"), k) for k in (2, 3, 4, 5)}, "frac_not_two": F.coalesce(F.col("_non_two"), F.lit(0.0)) / F.nullif(F.col("chrom_seg_len_mb") * 1e6, F.lit(0.0))}).drop("_states", "_non_two")
 
 
+def run_structure(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom")) -> DataFrame:
+    """One row per chromosome: ``n_changes, two_state_dominance, median_run_length, n_singleton_runs`` of the states along it.
+
+    A state is a pair of copy numbers; a segment that lacks one is a state of its own. ``two_state_dominance``: of all
+    changes the share of those between the two states that change into each other most often, 0 without changes.
+    """
+    along = Window.partitionBy(*key).orderBy("loc_start", "loc_end")
+    token = F.when(F.col("tcn").isNotNull() & F.col("lcn").isNotNull(), F.concat_ws("|", "tcn", "lcn")).otherwise(F.concat(F.lit("row"), F.col("_i")))
+    rows = segments.withColumn("_i", F.row_number().over(along)).withColumn("_token", token).withColumn("_before", F.lag("_token").over(along))
+    rows = rows.withColumn("_new", (~F.coalesce(F.col("_before") == F.col("_token"), F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(along))
+    runs = rows.groupBy(*key, "_run").agg(F.count("*").alias("_len"), F.min(F.when(F.col("_new") == 1, F.struct(F.least("_before", "_token").alias("a"), F.greatest("_before", "_token").alias("b"), F.col("_before").isNotNull().alias("c")))).alias("_pair"))
+    # Counted per length before the last step, so that a group of any length is a few rows.
+    counts = runs.groupBy(*key, "_pair", "_len").agg(F.count("*").alias("_c"), F.count_if("_pair.c").alias("_n")).withColumn("_both", F.sum("_n").over(Window.partitionBy(*key, "_pair")))
+    out = counts.groupBy(*key).agg(F.sum("_n").alias("n_changes"), F.max("_both").alias("_top"), F.percentile("_len", 0.5, F.col("_c")).alias("median_run_length"), F.coalesce(F.sum(F.when(F.col("_len") == 1, F.col("_c"))), F.lit(0)).alias("n_singleton_runs"))
+    return out.select(*key, "n_changes", F.coalesce(F.try_divide("_top", "n_changes"), F.lit(0.0)).alias("two_state_dominance"), "median_run_length", "n_singleton_runs")
+
+
 def merge_screen(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom"), least_raw: int = 5, least_merged: int = 3) -> DataFrame:
     """One row per chromosome with at least ``least_raw`` segments: neighbours of equal state merged, oscillations counted.
 

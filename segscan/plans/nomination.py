@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segscan.functions.text import bare_chrom, sample_key
 from segscan.operators import cohort, scores, segments
 from segscan.operators.footprint import footprint
+from segscan.operators.joins import lookup
 from segscan.operators.packed import unpack
 from segscan.plans.cohort import _BLANK, _CLEAN
 from segscan.plans.preparation import ORACLE as _PREPARATION
@@ -26,16 +27,16 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seg_footprint(spark: SparkSession, d: str) -> DataFrame:
-    return footprint(_segments(spark, d)).select(*KEY, "osc_chain", "osc_chain_n_segments", "n_altered_islands", "bp_per_osc_transition_mb", *[F.round(c, 6).alias(c) for c in SPANS])
+    return footprint(_segments(spark, d)).select(*KEY, "osc_chain", "osc_chain_n_segments", "n_altered_islands", "bp_per_osc_transition_mb", F.round("osc_chain_frac_segments", 6).alias("osc_chain_frac_segments"), F.round("osc_transition_density_per_mb", 6).alias("osc_transition_density_per_mb"), *[F.round(c, 6).alias(c) for c in SPANS])
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     along = Window.partitionBy(*KEY).orderBy("loc_start", "loc_end")
     rows = _segments(spark, d).withColumn("_loh", F.coalesce(F.col("lcn") == 0, F.lit(False)))
     rows = rows.withColumn("_mixed", F.lag("_loh").over(along) != F.col("_loh"))
-    foot = footprint(rows, more={"interleave": F.count_if("_mixed"), "marks": F.sum("num_mark"), "sample": F.min(sample_key("sample_id"))})
-    probes = table(spark, d, "cp_features").filter((F.col("pen_const") == PENALTY) & F.col("cp_n_probes").isNotNull()).groupBy(sample_key("sample_id").alias("sample"), bare_chrom("chrom").alias("chrom")).agg(F.min_by(F.struct("cp_osc_confidence", "cp_within_dispersion"), F.struct("file_id", "line_no")).alias("_p"))
-    all_ = foot.join(probes, ["sample", "chrom"], "left").withColumns({"confidence": F.col("_p.cp_osc_confidence"), "noise": F.col("_p.cp_within_dispersion")})
+    foot = footprint(rows, more={"interleave": F.count_if("_mixed"), "marks": F.sum("num_mark"), "sample": F.min(sample_key("sample_id")), "amplitude": F.coalesce(F.max(F.rint("tcn")) - F.min(F.rint("tcn")), F.lit(0.0)), "frac_loh": F.avg(F.col("_loh").cast("double"))})
+    probes = table(spark, d, "cp_features").filter((F.col("pen_const") == PENALTY) & F.col("cp_n_probes").isNotNull()).groupBy(sample_key("sample_id").alias("sample"), bare_chrom("chrom").alias("chrom")).agg(F.min_by(F.struct("cp_osc_confidence", "cp_within_dispersion", "cp_n_levels"), F.struct("file_id", "line_no")).alias("_p"))
+    all_ = lookup(foot, probes, ["sample", "chrom"], F.col("facets_id")).withColumns({"confidence": F.col("_p.cp_osc_confidence"), "noise": F.col("_p.cp_within_dispersion"), "levels": F.col("_p.cp_n_levels")})
     return all_.withColumn("ctx_score", scores.evidence(F.col("osc_chain"), F.col("interleave"), F.col("marks"), "product")).withColumn("ctx_suppress", scores.suppressed(F.col("ctx_score"), F.col("confidence")))
 
 
@@ -50,7 +51,7 @@ def seg_nominations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seg_nominations_by_span(spark: SparkSession, d: str) -> DataFrame:
-    return scores.nominate(_scored(spark, d), "ctx_suppress", "noise", least_chain=None, least_span=0.25).select(*KEY, "score_pass", "noise_veto", "weak_footprint", "nominated")
+    return scores.nominate(_scored(spark, d), "ctx_suppress", "noise", by_span=True, by_chain=False).select(*KEY, "score_pass", "noise_veto", "weak_footprint", "nominated")
 
 
 def _with_truth(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +101,7 @@ mode_ AS (SELECT facets_id, chrom, v AS mode_v FROM (SELECT facets_id, chrom, v,
 al AS (SELECT i.*, coalesce(v <> mode_v, false) AS alt, i > 1 AND lag(CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN concat(v, '|', w) END) OVER q IS DISTINCT FROM CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN concat(v, '|', w) END AS moved FROM i LEFT JOIN mode_ USING (facets_id, chrom) WINDOW q AS (PARTITION BY facets_id, chrom ORDER BY i)),
 isl AS (SELECT facets_id, chrom, sum(len) AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY facets_id, chrom ORDER BY i) AS g FROM al WHERE alt) GROUP BY facets_id, chrom, g),
 isl2 AS (SELECT facets_id, chrom, count(*) FILTER (l > 0) AS islands, max(l) AS largest FROM isl GROUP BY ALL),
-base AS (SELECT facets_id, chrom, count(*) AS n_segments, max(loc_end) - min(loc_start) AS span, coalesce(sum(len), 0) AS total, coalesce(sum(len) FILTER (alt), 0) AS union_, coalesce(max(loc_end) FILTER (alt) - min(loc_start) FILTER (alt), 0) AS alt_span, coalesce(max(loc_start) FILTER (moved) - min(loc_start) FILTER (moved), 0) AS move_span, sum(num_mark) AS marks FROM al GROUP BY ALL),
+base AS (SELECT facets_id, chrom, count(*) AS n_segments, max(loc_end) - min(loc_start) AS span, coalesce(sum(len), 0) AS total, coalesce(sum(len) FILTER (alt), 0) AS union_, coalesce(max(loc_end) FILTER (alt) - min(loc_start) FILTER (alt), 0) AS alt_span, coalesce(max(loc_start) FILTER (moved) - min(loc_start) FILTER (moved), 0) AS move_span, sum(num_mark) AS marks, coalesce(max(v) - min(v), 0) AS amplitude FROM al GROUP BY ALL),
 val AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY facets_id, chrom ORDER BY i) THEN 0 ELSE 1 END AS new FROM i WHERE v IS NOT NULL),
 runs AS (SELECT facets_id, chrom, j, min(v) AS v, min(i) AS a, max(i) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY facets_id, chrom ORDER BY i) AS j FROM val) GROUP BY ALL),
 win AS (SELECT x.facets_id, x.chrom, x.j AS lo, y.j - x.j + 1 AS n, min(x.a) AS a, min(y.b) AS b FROM runs x JOIN runs y ON (x.facets_id, x.chrom) = (y.facets_id, y.chrom) AND y.j >= x.j JOIN runs z ON (z.facets_id, z.chrom) = (x.facets_id, x.chrom) AND z.j BETWEEN x.j AND y.j GROUP BY x.facets_id, x.chrom, x.j, y.j HAVING count(DISTINCT z.v) <= 3),
@@ -108,10 +109,10 @@ best AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY facets_id, ch
 chain AS (SELECT i.facets_id, i.chrom, any_value(n) AS n, count(*) AS m, arg_max(loc_end, i) - arg_min(loc_start, i) AS cspan, coalesce(sum(len), 0) AS clen FROM i JOIN best ON (i.facets_id, i.chrom) = (best.facets_id, best.chrom) AND i.i BETWEEN a AND b GROUP BY ALL),
 foot AS (SELECT base.*, CAST(coalesce(n, 0) AS INTEGER) AS osc_chain, CAST(coalesce(m, 0) AS INTEGER) AS m, cspan, clen, coalesce(islands, 0) AS islands, coalesce(largest, 0) AS largest FROM base LEFT JOIN isl2 USING (facets_id, chrom) LEFT JOIN chain USING (facets_id, chrom))"""
 _SCORED = f"""{_SPAN},
-lohs AS (SELECT facets_id, chrom, count(*) FILTER (i > 1 AND ph <> loh) AS interleave FROM (SELECT *, lag(loh) OVER (PARTITION BY facets_id, chrom ORDER BY i) AS ph FROM (SELECT *, coalesce(lcn = 0, false) AS loh FROM i)) GROUP BY ALL),
+lohs AS (SELECT facets_id, chrom, count(*) FILTER (i > 1 AND ph <> loh) AS interleave, avg(CASE WHEN loh THEN 1.0 ELSE 0.0 END) AS frac_loh FROM (SELECT *, lag(loh) OVER (PARTITION BY facets_id, chrom ORDER BY i) AS ph FROM (SELECT *, coalesce(lcn = 0, false) AS loh FROM i)) GROUP BY ALL),
 smp AS (SELECT facets_id, chrom, min(k) AS sample FROM (SELECT facets_id, regexp_replace(trim(chrom, {_BLANK}), '^chr', '', 'i') AS chrom, loc_start, CASE WHEN upper(trim(sample_id, {_BLANK})) NOT IN ('', 'NA') THEN upper(trim(sample_id, {_BLANK})) END AS k, loaded_at, row_id FROM cncf WHERE facets_id IS NOT NULL AND chrom IS NOT NULL AND loc_start IS NOT NULL QUALIFY row_number() OVER (PARTITION BY facets_id, regexp_replace(trim(chrom, {_BLANK}), '^chr', '', 'i'), loc_start ORDER BY loaded_at NULLS FIRST, row_id) = 1) GROUP BY ALL),
-prb AS (SELECT upper(trim(sample_id, {_BLANK})) AS sample, regexp_replace(trim(chrom, {_BLANK}), '^chr', '', 'i') AS chrom, cp_osc_confidence AS confidence, cp_within_dispersion AS noise FROM cp_features WHERE pen_const = 3 AND cp_n_probes IS NOT NULL AND upper(trim(sample_id, {_BLANK})) NOT IN ('', 'NA') QUALIFY row_number() OVER (PARTITION BY upper(trim(sample_id, {_BLANK})), regexp_replace(trim(chrom, {_BLANK}), '^chr', '', 'i') ORDER BY file_id, line_no) = 1),
-fac AS (SELECT foot.*, interleave, confidence, noise, greatest(least((osc_chain - 2) / 4.0, 1), 0)::DOUBLE AS o, (0.25 + 0.75 * CASE WHEN coalesce(marks, 0) >= 4 THEN greatest(least((interleave - 1) / 5.0, 1), 0) ELSE 0 END)::DOUBLE AS a
+prb AS (SELECT upper(trim(sample_id, {_BLANK})) AS sample, regexp_replace(trim(chrom, {_BLANK}), '^chr', '', 'i') AS chrom, cp_osc_confidence AS confidence, cp_within_dispersion AS noise, cp_n_levels AS levels FROM cp_features WHERE pen_const = 3 AND cp_n_probes IS NOT NULL AND upper(trim(sample_id, {_BLANK})) NOT IN ('', 'NA') QUALIFY row_number() OVER (PARTITION BY upper(trim(sample_id, {_BLANK})), regexp_replace(trim(chrom, {_BLANK}), '^chr', '', 'i') ORDER BY file_id, line_no) = 1),
+fac AS (SELECT foot.*, smp.sample, interleave, frac_loh, confidence, noise, levels, greatest(least((osc_chain - 2) / 4.0, 1), 0)::DOUBLE AS o, (0.25 + 0.75 * CASE WHEN coalesce(marks, 0) >= 4 THEN greatest(least((interleave - 1) / 5.0, 1), 0) ELSE 0 END)::DOUBLE AS a
         FROM foot JOIN lohs USING (facets_id, chrom) JOIN smp USING (facets_id, chrom) LEFT JOIN prb ON prb.sample = smp.sample AND prb.chrom = foot.chrom),
 sc AS (SELECT *, o * a AS score, o * a * greatest(least(coalesce(confidence, 0) / 3, 1), 0) AS sup, coalesce(union_ / nullif(total, 0) < 0.15, true) AND islands <= 3 AS weak, coalesce(alt_span / nullif(span, 0) < 0.25, true) AS short, coalesce(noise > 1.135, false) AS veto FROM fac)"""
 _TRUTH = f"""p1 AS ({_PREPARATION["p1_found"]}), truth AS (SELECT DISTINCT c.facets_id, p.chrom_value AS chrom FROM p1 p JOIN ctx_details c ON p.row_id = c.row_id WHERE p.src_table = 'ctx_details' AND c.facets_id IS NOT NULL),
@@ -121,7 +122,7 @@ _VALUES = ", ".join(f"('{f}', CAST({c} AS DOUBLE))" for f, c in zip(SCREENED, ("
 
 ORACLE = {
     "seg_footprint": f"""WITH {_SPAN} SELECT facets_id, chrom, osc_chain, m AS osc_chain_n_segments, islands AS n_altered_islands, round(total / 1e6, 6) AS chrom_seg_len_mb, round(cspan / 1e6, 6) AS osc_chain_span_mb, round(clen / 1e6, 6) AS osc_chain_len_sum_mb,
-  round(cspan / nullif(span, 0), 6) AS osc_chain_frac_chrom, round(clen / nullif(total, 0), 6) AS osc_chain_len_frac_chrom, round(osc_chain / nullif(cspan / 1e6, 0), 6) AS osc_chain_density_per_mb, CASE WHEN osc_chain > 1 THEN cspan / 1e6 / (osc_chain - 1) END AS bp_per_osc_transition_mb,
+  round(cspan / nullif(span, 0), 6) AS osc_chain_frac_chrom, round(clen / nullif(total, 0), 6) AS osc_chain_len_frac_chrom, round(osc_chain / nullif(cspan / 1e6, 0), 6) AS osc_chain_density_per_mb, round(m / n_segments, 6) AS osc_chain_frac_segments, round(greatest(osc_chain - 1, 0) / nullif(cspan / 1e6, 0), 6) AS osc_transition_density_per_mb, CASE WHEN osc_chain > 1 THEN cspan / 1e6 / (osc_chain - 1) END AS bp_per_osc_transition_mb,
   round(union_ / 1e6, 6) AS altered_union_mb, round(union_ / nullif(total, 0), 6) AS altered_union_frac, round(alt_span / 1e6, 6) AS altered_span_mb, round(alt_span / nullif(span, 0), 6) AS altered_span_frac, round(largest / 1e6, 6) AS largest_altered_island_mb,
   round(largest / nullif(total, 0), 6) AS largest_altered_island_frac, round(move_span / 1e6, 6) AS state_change_span_mb, round(move_span / nullif(span, 0), 6) AS state_change_span_frac FROM foot""",
     "seg_scores": f"""WITH {_SCORED} SELECT facets_id, chrom, round(0.6 * o + 0.4 * a, 6) AS score_sum, round(o * a, 6) AS score_product, round(least(o, a), 6) AS score_min, round(pow(o, 0.6) * pow(a, 0.4), 6) AS score_geom, round(o * (0.5 + 0.5 * a), 6) AS score_osc_primary,
