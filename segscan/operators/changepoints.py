@@ -66,27 +66,31 @@ def breakpoints(x: np.ndarray, penalty: float, least: int = 5) -> list[int]:
     return ends[::-1]
 
 
-def probe_segments(probes: DataFrame, key: list[str], position: str, value: str, penalty: float = 3.0) -> DataFrame:
-    """Key, ``seg``, ``n_probes``, ``first``, ``last``, ``level`` (median): one row per segment of each group.
+def probe_segments(probes: DataFrame, key: list[str], position: str, value: str, penalty: float | str = 3.0, variance: str | None = None) -> DataFrame:
+    """Key, ``seg, n_probes, first, last, level`` (median), ``mad`` (robust deviation), ``noise``, ``n_group``: one row per segment of each group.
 
-    The boundary costs ``penalty`` times the noise variance (from neighbouring differences) times the log of the count.
-    Null, NaN and infinite values and null positions are left out; ties in position are ordered by value.
+    The boundary costs ``penalty`` (a number, or a column that is constant in a group) times the noise times the log of the
+    count. The noise is a variance, from neighbouring differences or the median of the column ``variance`` over all rows
+    of the group, whichever is larger. Null, NaN and infinite values and null positions are left out; ties in position are
+    ordered by value.
     """
-    schema = ", ".join(f"{k} {probes.schema[k].dataType.simpleString()}" for k in key) + ", seg int, n_probes long, first double, last double, level double"
+    schema = ", ".join(f"`{k}` {probes.schema[k].dataType.simpleString()}" for k in key) + ", seg int, n_probes long, first double, last double, level double, mad double, noise double, n_group long"
 
-    def cut(x: np.ndarray) -> list[int]:
+    def cut(x: np.ndarray, modelled: float, pen: float) -> tuple[list[int], float]:
         d = np.abs(np.diff(x))
-        noise = max((1.4826 * float(np.median(d)) / 2**0.5) ** 2 if len(d) else 0.0, 1e-4)
-        return breakpoints(x, penalty * noise * np.log(max(len(x), 2)))
+        noise = max((1.4826 * float(np.median(d)) / 2**0.5) ** 2 if len(d) else 0.0, modelled if modelled > 0 else 0.0, 1e-4)
+        return breakpoints(x, pen * noise * np.log(max(len(x), 2))), noise
 
     def whole(pdf: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
         """The segments of the groups that begin at ``begins``, the last of which ends with the frame."""
-        x, at = pdf["_x"].to_numpy(), pdf["_at"].to_numpy()
+        x, at, modelled, pen = (pdf[c].to_numpy() for c in ("_x", "_at", "_var", "_pen"))
         rows = []
         for b, e in zip(begins.tolist(), [*begins[1:].tolist(), len(x)]):
-            ends = [b + i for i in cut(x[b:e])]
-            rows += [(b, i, hi - lo, at[lo], at[hi - 1], float(np.median(x[lo:hi]))) for i, (lo, hi) in enumerate(zip([b, *ends], ends))]
-        out = pd.DataFrame(rows, columns=["_b", "seg", "n_probes", "first", "last", "level"])
+            ends, noise = cut(x[b:e], modelled[b], pen[b])
+            for i, (lo, hi) in enumerate(zip([b, *(b + n for n in ends)], [b + n for n in ends])):
+                level = float(np.median(x[lo:hi]))
+                rows.append((b, i, hi - lo, at[lo], at[hi - 1], level, 1.4826 * float(np.median(np.abs(x[lo:hi] - level))), noise, e - b))
+        out = pd.DataFrame(rows, columns=["_b", "seg", "n_probes", "first", "last", "level", "mad", "noise", "n_group"])
         return pd.concat([pdf[key].iloc[out["_b"]].reset_index(drop=True), out.drop(columns="_b")], axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +109,9 @@ def probe_segments(probes: DataFrame, key: list[str], position: str, value: str,
             yield whole(pd.concat(parts, ignore_index=True), np.array([0]))
 
     x = F.col(value).cast("double")
-    rows = probes.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & F.col(position).isNotNull())
-    rows = rows.select(*key, F.col(position).cast("double").alias("_at"), x.alias("_x"))
-    new = F.row_number().over(Window.partitionBy(*key).orderBy("_at", "_x")) == 1
+    group = Window.partitionBy(*key)
+    modelled = F.lit(0.0) if variance is None else F.coalesce(F.median(F.when(~F.isnan(F.col(variance).cast("double")), F.col(variance).cast("double"))).over(group), F.lit(0.0))
+    rows = probes.withColumn("_var", modelled).filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & F.col(position).isNotNull())
+    rows = rows.select(*key, F.col(position).cast("double").alias("_at"), x.alias("_x"), "_var", (F.col(penalty).cast("double") if isinstance(penalty, str) else F.lit(float(penalty))).alias("_pen"))
+    new = F.row_number().over(group.orderBy("_at", "_x")) == 1
     return rows.withColumn("_new", new).mapInPandas(run, schema)

@@ -77,7 +77,7 @@ def ratio_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 def event_changepoints(spark: SparkSession, d: str) -> DataFrame:
     probes = table(spark, d, "events").select("user_id", F.pmod("event_id", F.lit(4)).alias("chrom"), "event_id", "value")
-    return probe_segments(probes, ["user_id", "chrom"], "event_id", "value")
+    return probe_segments(probes, ["user_id", "chrom"], "event_id", "value").select("user_id", "chrom", "seg", "n_probes", "first", "last", "level")
 
 
 QUERIES = {q.__name__: q for q in (seg_clean, seg_features, merge_screen, merge_screen_calls, tcn_from_ratio, screen_against_labels, screen_against_all_labels, within_sample_contrast, survival_curves, ratio_sweep, event_changepoints)}
