@@ -47,23 +47,44 @@ def sweep(df: DataFrame, score: str, truth: Column) -> DataFrame:
     return cumulate(per, [], -F.col("threshold"), tp=("sum", "_t"), n=("sum", "_n")).select("threshold", "tp", (F.col("n") - F.col("tp")).alias("fp"))
 
 
+def _log_rank(per: DataFrame, by: list[str]) -> DataFrame:
+    """``by, group, n, observed, expected, chi2`` of each group against all others of its ``by``. ``per``: by, group, time, d (events), c (rows), all without nulls."""
+    # Over all distinct times: hazard d / n and the two parts of the variance, summed from the start. A row of a group
+    # brings all that was summed up to its own time, so no group is paired with all times.
+    times = cumulate(per.groupBy(*by, "time").agg(F.sum("d").alias("_d"), F.sum("c").alias("_c")), by, -F.col("time"), _n=("sum", "_c"))
+    w = F.when(F.col("_n") > 1, F.col("_d") * (F.col("_n") - F.col("_d")) / (F.col("_n") - 1)).otherwise(0.0)
+    times = times.select(*by, "time", (F.col("_d") / F.col("_n")).alias("_h1"), (w / F.col("_n")).alias("_a1"), (w / F.col("_n") / F.col("_n")).alias("_b1"))
+    times = cumulate(times, by, F.col("time"), _h=("sum", "_h1"), _a=("sum", "_a1"), _b=("sum", "_b1")).select(*by, "time", "_h", "_a", "_b")
+    group = Window.partitionBy(*by, "group")
+    own = per.join(times, [*by, "time"]).withColumns({"_g": F.sum("c").over(group.orderBy(F.col("time").desc())), "_step": F.col("_b") - F.coalesce(F.lag("_b").over(group.orderBy("time")), F.lit(0.0))})
+    out = own.groupBy(*by, "group").agg(F.sum("c").alias("n"), F.sum("d").alias("observed"), F.sum(F.col("c") * F.col("_h")).alias("expected"), (F.sum(F.col("c") * F.col("_a")) - F.sum(F.col("_step") * F.col("_g") * F.col("_g"))).alias("_v"))
+    return out.select(*by, "group", "n", "observed", "expected", F.when(F.col("_v") > 1e-9, F.pow(F.col("observed") - F.col("expected"), F.lit(2)) / F.col("_v")).alias("chi2"))
+
+
+def _per_time(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
+    return df.select(F.col(group).alias("group"), F.col(time).alias("time"), F.col(event).cast("long").alias("e")).dropna().groupBy("group", "time").agg(F.sum("e").alias("d"), F.count("*").alias("c"))
+
+
 def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """``group, n, observed, expected, chi2``: each group against all others, one degree of freedom.
 
     Rows are counted per group and time before any window. Rows with a null among the three are left out; ``chi2`` is
     null where the variance is 0.
     """
-    per = df.select(F.col(group).alias("group"), F.col(time).alias("time"), F.col(event).cast("long").alias("e")).dropna().groupBy("group", "time").agg(F.sum("e").alias("d"), F.count("*").alias("c"))
-    # Over all distinct times: hazard d / n and the two parts of the variance, summed from the start. A row of a group
-    # brings all that was summed up to its own time, so no group is paired with all times.
-    times = cumulate(per.groupBy("time").agg(F.sum("d").alias("_d"), F.sum("c").alias("_c")), [], -F.col("time"), _n=("sum", "_c"))
-    w = F.when(F.col("_n") > 1, F.col("_d") * (F.col("_n") - F.col("_d")) / (F.col("_n") - 1)).otherwise(0.0)
-    times = times.select("time", (F.col("_d") / F.col("_n")).alias("_h1"), (w / F.col("_n")).alias("_a1"), (w / F.col("_n") / F.col("_n")).alias("_b1"))
-    times = cumulate(times, [], F.col("time"), _h=("sum", "_h1"), _a=("sum", "_a1"), _b=("sum", "_b1")).select("time", "_h", "_a", "_b")
-    along = Window.partitionBy("group").orderBy("time")
-    own = per.join(times, "time").withColumns({"_g": F.sum("c").over(Window.partitionBy("group").orderBy(F.col("time").desc())), "_step": F.col("_b") - F.coalesce(F.lag("_b").over(along), F.lit(0.0))})
-    out = own.groupBy("group").agg(F.sum("c").alias("n"), F.sum("d").alias("observed"), F.sum(F.col("c") * F.col("_h")).alias("expected"), (F.sum(F.col("c") * F.col("_a")) - F.sum(F.col("_step") * F.col("_g") * F.col("_g"))).alias("_v"))
-    return out.select("group", "n", "observed", "expected", F.when(F.col("_v") > 1e-9, F.pow(F.col("observed") - F.col("expected"), F.lit(2)) / F.col("_v")).alias("chi2"))
+    return _log_rank(_per_time(df, time, event, group), [])
+
+
+def pairwise_log_rank(df: DataFrame, time: str, event: str, group: str, most_groups: int = 100) -> DataFrame:
+    """``group_1, group_2, n_1, observed_1, expected_1, chi2`` for every two groups, by name. More than ``most_groups`` raise ValueError."""
+    per = _per_time(df, time, event, group)
+    names = sorted(r[0] for r in per.select("group").distinct().limit(most_groups + 1).collect())
+    if len(names) > most_groups:
+        raise ValueError(f"more than {most_groups} groups")
+    # Each count goes to the pairs of its group: one row per other group.
+    others = F.explode(F.filter(F.lit(names) if names else F.array().cast("array<string>"), lambda g: g != F.col("group"))).alias("_o")
+    paired = per.select("*", others).select(F.least("group", "_o").alias("group_1"), F.greatest("group", "_o").alias("group_2"), "group", "time", "d", "c")
+    out = _log_rank(paired, ["group_1", "group_2"]).filter("group = group_1")
+    return out.select("group_1", "group_2", F.col("n").alias("n_1"), F.col("observed").alias("observed_1"), F.col("expected").alias("expected_1"), "chi2")
 
 
 def at_risk(df: DataFrame, time: str, group: str, marks: list[float]) -> DataFrame:
