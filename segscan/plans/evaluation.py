@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from segscan.functions.text import bare_chrom, path_key, sample_key
 from segscan.operators import evaluation, scores, segments
 from segscan.operators.joins import lookup
+from segscan.operators.learned import out_of_fold
 from segscan.operators.packed import unpack
 from segscan.plans.cohort import _BLANK, _CLEAN
 from segscan.plans.nomination import _SCORED, _TRUTH, KEY, _scored, _segments, _with_truth
@@ -119,7 +120,11 @@ def sample_ledger(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", has_path.alias("has_path"), exists.alias("cncf_exists"), fit.alias("has_purity_ploidy"), (F.coalesce("n_chrom", F.lit(0)) > 0).alias("has_chr_ctx"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), (has_path & exists & fit).alias("processable"))
 
 
-QUERIES = {q.__name__: q for q in (seg_run_structure, seg_scores_gated, sample_flags, seg_nominations_by_noise, chromosome_outcomes, classifier_report, sample_sweep, best_threshold, compare_scores, score_means, positive_register, false_positive_register, marks_residual, penalty_calibration, sample_ledger)}
+def learned_scores(spark: SparkSession, d: str) -> DataFrame:
+    return out_of_fold(_with_truth(spark, d), list(KEY), ["osc_chain", "interleave", "marks", "amplitude", "frac_loh", "altered_union_frac", "altered_span_frac", "n_altered_islands", "confidence", "noise", "levels"], "facets_id", F.col("truth"))
+
+
+QUERIES = {q.__name__: q for q in (seg_run_structure, seg_scores_gated, sample_flags, seg_nominations_by_noise, chromosome_outcomes, classifier_report, sample_sweep, best_threshold, compare_scores, score_means, positive_register, false_positive_register, marks_residual, penalty_calibration, sample_ledger, learned_scores)}
 
 _KEYED = f"CASE WHEN upper(trim({{0}}, {_BLANK})) NOT IN ('', 'NA') THEN upper(trim({{0}}, {_BLANK})) END"
 _CALLED = f"{_SCORED}, {_TRUTH}, called AS (SELECT *, coalesce(sup >= 0.35 AND osc_chain >= 5 AND NOT veto AND NOT weak, false) AS nom FROM st)"

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +60,8 @@ def _bare(cells: pa.Array) -> pa.Array:
     return pc.utf8_trim_whitespace(cells)
 
 
-def _targets(names: list[str]) -> list[str]:
+@lru_cache(maxsize=10_000)
+def _targets(names: tuple[str, ...]) -> list[str]:
     """The target's field of each name, or ``x:`` and the name; what is claimed twice, or would be one key, gets a number."""
     taken: set[str] = set()
     out = []
@@ -79,16 +80,19 @@ def _targets(names: list[str]) -> list[str]:
 
 def _floats(cells: pa.Array) -> np.ndarray:
     """The numbers that match ``NUMBER``; those too large for a double are infinite."""
-    return np.array(cells.to_pylist(), dtype=object).astype(float) if len(cells) else np.zeros(0)
+    try:
+        return pc.cast(pc.utf8_ltrim(cells, "+"), pa.float64()).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:
+        return np.array(cells.to_pylist(), dtype=object).astype(float)
 
 
 def _as_json(keys: pa.Array, values: pa.Array) -> pa.Array:
     """``"key":"value"`` of each pair."""
 
     def safe(x: pa.Array) -> pa.Array:
-        if pc.any(pc.match_substring_regex(x, "[\\x00-\\x1f]")).as_py():
-            return pa.array([json.dumps(v, ensure_ascii=False)[1:-1] for v in x.to_pylist()], pa.string())
-        return pc.replace_substring(pc.replace_substring(x, "\\", "\\\\"), '"', '\\"')
+        plain = pc.replace_substring(pc.replace_substring(x, "\\", "\\\\"), '"', '\\"')
+        control = pc.match_substring_regex(x, "[\\x00-\\x1f]")
+        return pc.replace_with_mask(plain, control, pa.array([json.dumps(v, ensure_ascii=False)[1:-1] for v in x.filter(control).to_pylist()], pa.string()))
 
     return pc.binary_join_element_wise('"', safe(keys), '":"', safe(values), '"', "")
 
@@ -116,7 +120,7 @@ class _Lines:
         names = cells.filter(pa.array(in_header))
         header_spots, ends = spot[in_header], np.cumsum(width[is_header])
         listed = names.to_pylist()
-        targets = [t for e, n in zip(ends, width[is_header]) for t in _targets(listed[e - n : e])]
+        targets = [t for e, n in zip(ends, width[is_header]) for t in _targets(tuple(listed[e - n : e]))]
         code = np.full(size, -2)
         code[header_spots] = [_CODE.get(t, -1) for t in targets]
         # What each value is, and whether the target's type can take it.

@@ -102,6 +102,26 @@ def test_gates_and_noise(spark):
     assert {r.s: (r.flagged, r.n_nominated) for r in flags} == {"a": (True, 1), "b": (False, 0)}
 
 
+def test_learned_scores_of_unseen_groups(spark):
+    from segscan.operators.learned import informative, out_of_fold
+
+    rng = random.Random(13)
+    rows = []
+    for g in range(60):
+        for c in range(10):
+            y = rng.random() < 0.15
+            rows.append((f"g{g}", c, 3.0 * y + rng.gauss(0, 1), rng.gauss(0, 1), None if rng.random() < 0.2 else 2.0 * y + rng.gauss(0, 1), 7.0, None, True if y else rng.choice([False, None])))
+    df = spark.createDataFrame(rows, "g string, c int, a double, b double, d double, same double, none double, y boolean")
+    names = ["a", "b", "d", "same", "none"]
+    assert informative(df, names) == ["a", "b", "d"]
+    got = {(r.g, r.c): r.p for r in out_of_fold(df, ["g", "c"], names, "g", F.col("y")).collect()}
+    assert len(got) == 600
+    pos, neg = ([got[r[0], r[1]] for r in rows if bool(r[7]) == t] for t in (True, False))
+    assert sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg) > 0.95
+    assert {r.p for r in out_of_fold(df.filter("NOT y"), ["g", "c"], names, "g", F.col("y")).collect()} == {None}
+    assert out_of_fold(df.limit(0), ["g", "c"], names, "g", F.col("y")).count() == 0
+
+
 def test_run_structure(spark):
     from segscan.operators.segments import run_structure
 
