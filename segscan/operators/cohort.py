@@ -87,6 +87,11 @@ def pairwise_log_rank(df: DataFrame, time: str, event: str, group: str, most_gro
     return out.select("group_1", "group_2", F.col("n").alias("n_1"), F.col("observed").alias("observed_1"), F.col("expected").alias("expected_1"), "chi2")
 
 
+def first_of_each(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group, with ``place`` from 1; where the order ties, which come first is arbitrary. Groups are cut to ``n`` rows before the shuffle."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("place") <= n)
+
+
 def at_risk(df: DataFrame, time: str, group: str, marks: list[float]) -> DataFrame:
     """``group, time, n_risk`` for each of the given times: rows of the group with at least that time; 0 where there is none left."""
     counts = df.groupBy(F.col(group).alias("group")).agg(*[F.count_if(F.col(time) >= m).alias(f"_{i}") for i, m in enumerate(marks)])

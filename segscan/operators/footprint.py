@@ -77,7 +77,7 @@ def footprint(segments: DataFrame, key: tuple[str, ...] = ("facets_id", "chrom")
     part = lambda a, b: F.try_divide(F.col(a), F.col(b))
     moves = F.col("_c.n") - 1
     return out.select(
-        *key, *more, "n_segments", (F.col("_span") / MB).alias("chrom_span_mb"), (F.col("_total") / MB).alias("chrom_seg_len_mb"),
+        *key, *more, "n_segments", F.try_element_at("_chain", F.lit(1))["loc_start"].alias("osc_chain_start"), F.try_element_at("_chain", F.lit(-1))["loc_end"].alias("osc_chain_end"), (F.col("_span") / MB).alias("chrom_span_mb"), (F.col("_total") / MB).alias("chrom_seg_len_mb"),
         F.col("_c.n").alias("osc_chain"), F.size("_chain").alias("osc_chain_n_segments"), (F.size("_chain") / F.col("n_segments")).alias("osc_chain_frac_segments"), F.try_divide(F.greatest(F.col("_c.n") - 1, F.lit(0)), F.col("_chain_span") / MB).alias("osc_transition_density_per_mb"), (F.col("_chain_span") / MB).alias("osc_chain_span_mb"), (F.col("_chain_len") / MB).alias("osc_chain_len_sum_mb"),
         part("_chain_span", "_span").alias("osc_chain_frac_chrom"), part("_chain_len", "_total").alias("osc_chain_len_frac_chrom"),
         F.try_divide(F.col("_c.n"), F.col("_chain_span") / MB).alias("osc_chain_density_per_mb"), F.when(moves > 0, F.col("_chain_span") / MB / moves).alias("bp_per_osc_transition_mb"),

@@ -72,6 +72,17 @@ def probe_summary(df: DataFrame, key: list[str], vaf: str = "vaf_t", het: str =
     return out.select(*key, "n_probes", "n_het_probes", F.when(F.col("n_het_probes") > 0, F.col("_sd")).alias("vaf_imbalance_sd"), "probe_noise")
 
 
+def edge_ranks(edges: DataFrame, probes: DataFrame, key: list[str], edge: str, position: str) -> DataFrame:
+    """``edges`` with ``rank``: how many probes of the same key lie before the edge, null for a null edge.
+
+    Both are one stream sorted by position, in which the probes are counted once, so no edge meets all probes of its key.
+    """
+    names = [c for c in edges.columns if c not in key]
+    stream = edges.select(*key, F.col(edge).cast("double").alias("_at"), F.lit(0).alias("_probe"), F.struct(*names).alias("_e")).unionByName(probes.select(*key, F.col(position).cast("double").alias("_at"), F.lit(1).alias("_probe")).filter("_at IS NOT NULL"), allowMissingColumns=True)
+    before = Window.partitionBy(*key).orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return stream.withColumn("_rank", F.sum("_probe").over(before)).filter("_probe = 0").select(*key, "_e.*", F.when(F.col("_at").isNotNull(), F.col("_rank")).alias("rank"))
+
+
 def resolved_levels(levels: Column, noise: Column) -> Column:
     """How many of the sorted distinct ``levels`` (an array) stand apart by more than twice the noise; null without levels or noise above 0."""
     zero = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("n"))

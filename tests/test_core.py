@@ -17,10 +17,10 @@ from segscan.operators.changepoints import breakpoints, probe_segments
 from segscan.operators.compaction import assign_groups, balance, first_copies
 from segscan.operators.packed import split_values, unpack
 from segscan.operators.references import find_orphans, orphan_report
-from segscan.plans import cohort, evaluation, figures, nomination, preparation, probes
+from segscan.plans import cohort, evaluation, figures, nomination, preparation, probes, reports
 from segscan.sources.raw_segments import ingest, replay, schema_changes, segments_of, unreadable
 
-PLANS = (preparation, cohort, nomination, evaluation, probes, figures)
+PLANS = (preparation, cohort, nomination, evaluation, probes, figures, reports)
 QUERIES = {k: q for p in PLANS for k, q in p.QUERIES.items()}
 ORACLE = {k: q for p in PLANS for k, q in p.ORACLE.items()}
 

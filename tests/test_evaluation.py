@@ -263,3 +263,36 @@ def test_delimited_text(spark, tmp_path):
     files = spark.createDataFrame([("k1/a_hisens.cncf.txt",), ("k1/refit_hisens.cncf.txt",), ("k1/z_hisens.cncf.txt",), ("k2/b_purity.txt",), (None,)], "path string")
     got = preferred_files(files, "path", F.substring_index("path", "/", 1)).select("key", "path", sibling(F.col("path"), ".cncf.txt", ".Rdata").alias("p")).collect()
     assert [tuple(r) for r in got] == [("k1", "k1/refit_hisens.cncf.txt", "k1/refit_hisens.Rdata")]
+
+
+def test_tails(spark):
+    from segscan.functions.tails import chi2_tail, t_tails
+
+    rows = [(x, d) for x in (0.0, 0.3, 1.0, 3.841458820694124, 9.0, 80.0) for d in (1, 2, 3, 4, 40)] + [(None, 1), (1.0, None), (-1.0, 1), (1.0, 0)]
+    got = spark.createDataFrame(rows, "x double, d int").select("x", "d", chi2_tail(F.col("x"), F.col("d")).alias("c"), t_tails(F.col("x"), F.col("d")).alias("t")).collect()
+    for r in got:
+        if r.x is None or r.d is None or r.d <= 0:
+            assert r.c is None and r.t is None
+            continue
+        if r.x < 0:
+            assert r.c is None and r.t == pytest.approx(0.5)
+            continue
+        h = r.x / 2
+        exact = {1: math.erfc(math.sqrt(h)), 2: math.exp(-h), 4: math.exp(-h) * (1 + h)}
+        if r.d in exact:
+            assert r.c == pytest.approx(exact[r.d], rel=1e-10)
+        if r.d == 1:
+            assert r.t == pytest.approx(1 - 2 / math.pi * math.atan(r.x), rel=1e-10)
+        if r.d == 2:
+            assert r.t == pytest.approx(1 - r.x / math.sqrt(2 + r.x**2), rel=1e-9, abs=1e-13)
+    by = {(r.x, r.d): r.c for r in got}
+    assert by[80.0, 40] == pytest.approx(math.exp(-40) * sum(40.0**k / math.factorial(k) for k in range(20)), rel=1e-10)
+    assert spark.createDataFrame([], "x double").select(chi2_tail(F.col("x"), 1)).count() == 0
+
+
+def test_edge_ranks_and_firsts(spark):
+    edges = spark.createDataFrame([("a", 5.0, "x"), ("a", 7.0, "y"), ("a", None, "z"), ("b", 1.0, "u")], "k string, e double, position string")
+    points = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("a", 6.0), ("a", None), ("c", 0.0)], "k string, p double")
+    assert {r.position: r["rank"] for r in probes.edge_ranks(edges, points, ["k"], "e", "p").collect()} == {"x": 1, "y": 3, "z": None, "u": 0}
+    df = spark.createDataFrame([("a", i) for i in range(9)] + [(None, 1), ("b", 2)], "g string, v int")
+    assert sorted((r.g or "", r.v, r.place) for r in cohort.first_of_each(df, "g", [F.col("v").desc()], 2).collect()) == [("", 1, 1), ("a", 7, 2), ("a", 8, 1), ("b", 2, 1)]
