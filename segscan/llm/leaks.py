@@ -31,7 +31,10 @@ STRETCH = 1.5
 #: The shortest tile; single words count beside tiles only.
 TILE_WORDS = 3
 #: Characters of passages that are broadcast as one index: only a larger item table needs another pass over the documents.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
+#: Items that are searched for at once, and how often their seeds may be met in the words searched at once.
+PART_ITEMS = 2_000
+MOST_MET = 2_000_000
 #: Characters of texts that are read at once (a longer text is read alone), and words that are searched at once.
 READ_CHARS = 400_000
 PIECE_WORDS = 100_000
@@ -230,34 +233,33 @@ class Items:
     def __init__(self, ids: list, passages: list[str | None]) -> None:
         hashes, n_words = word_hashes(passages)
         self.known, codes, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        self.ids, self.words, seeds, grams = [], [], [], []
+        self.ids, self.words, seeds, least, grams = [], [], [], [], []
         ends = np.cumsum(n_words)
         for item, n, end in zip(ids, n_words.tolist(), ends.tolist()):
             if not n:
                 continue
             at = codes[end - n : end].astype(np.int64) + 1
-            k = len(self.ids)
             self.ids.append(item)
             self.words.append(at)
             # Any need of the n words include at least r - (n - need) of the r rarest.
             spare = n - self.need(n)
             r = min(n, 2 * spare + 1)
             rarest = np.lexsort((np.arange(n), at, counts[at - 1]))[:r]
-            seeds.append((np.unique(at[rarest]), r - spare))
-            grams += [(h, k) for h in np.unique(rolling(at, RUN_WORDS)).tolist()]
-        by_word: list[list[int]] = [[] for _ in range(len(self.known) + 1)]
-        for k, (s, _) in enumerate(seeds):
-            for x in s.tolist():
-                by_word[x].append(k)
-        self.size = np.array([len(x) for x in by_word], np.int64)
+            seeds.append(np.unique(at[rarest]))
+            least.append(r - spare)
+            grams.append(np.unique(rolling(at, RUN_WORDS)))
+        # Items by seed word, and by the hash of each run of RUN_WORDS words.
+        joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
+        seed, item = joined(seeds, np.int64), np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+        self.size = np.bincount(seed, minlength=len(self.known) + 1)
         self.offset = np.cumsum(self.size) - self.size
-        self.member = np.array([k for x in by_word for k in x], np.int64)
-        self.least = np.array([n for _, n in seeds], np.int64)
+        self.member = item[np.argsort(seed, kind="stable")]
+        self.least = np.array(least, np.int64)
         self.span = np.array([self.most(len(w)) for w in self.words], np.int64)
         self.needs = np.array([self.need(len(w)) for w in self.words], np.int64)
-        grams.sort()
-        self.gram = np.array([g for g, _ in grams], np.uint64)
-        self.gram_item = np.array([k for _, k in grams], np.int64)
+        gram, item = joined(grams, np.uint64), np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.gram_item = gram[order], item[order]
         # How often each item has each of its words, by item and word.
         each = [np.unique(w, return_counts=True) for w in self.words]
         self.has = np.concatenate([k * (len(self.known) + 1) + w for k, (w, _) in enumerate(each)]) if each else np.zeros(0, np.int64)
@@ -285,19 +287,29 @@ class Items:
 
     def search(self, texts: list[str | None]) -> list[tuple[int, object, float, str]]:
         """(place of the text, item, share of the passage under tiles, ``found_by`` of ``find_leaks``) for each item found."""
-        hashes, n_words = word_hashes(texts)
+        return self.find(*word_hashes(texts))
+
+    def find(self, hashes: np.ndarray, n_words: np.ndarray) -> list[tuple[int, object, float, str]]:
+        """``search`` for texts of which the word hashes are known."""
         if not len(hashes) or not self.ids:
             return []
         code = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         at = np.where(self.known[code] == hashes, code + 1, 0)
-        doc = np.repeat(np.arange(len(texts)), n_words)
+        doc = np.repeat(np.arange(len(n_words)), n_words)
         out: dict[tuple[int, int], tuple[float, str]] = {}
-        # Pieces overlap by more than any stretch that is a leak.
+        # Pieces overlap by more than any stretch that is a leak. What they may hold is words, and items met by seeds.
         over = max(int(self.span.max()), RUN_WORDS) + 1
-        for b in range(0, max(1, len(at) - over), PIECE_WORDS):
-            piece = slice(b, b + PIECE_WORDS + over)
+        met = np.cumsum(self.size[at])
+        b = 0
+        while True:
+            most = int(np.searchsorted(met, (met[b - 1] if b else 0) + MOST_MET))
+            end = max(b + over, min(b + PIECE_WORDS, most))
+            piece = slice(b, end + over)
             self._runs(at[piece], doc[piece], out)
             self._shares(at[piece], doc[piece], out)
+            if end + over >= len(at):
+                break
+            b = end
         return [(d, self.ids[k], round(share, 4), by) for (d, k), (share, by) in out.items()]
 
     def _runs(self, at: np.ndarray, doc: np.ndarray, out: dict) -> None:
@@ -402,8 +414,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     ``SHARE`` of it under tiles, but in another order (moved). Null and empty texts and passages give nothing; equal items and
     equal documents are each reported; other columns don't matter.
 
-    The items are the stated query set: their index is broadcast, as one up to ``block_chars`` characters of passages, and each
-    document is read once for each such block. Word counts, which only rank the seeds, are those of the items themselves.
+    The items are the stated query set: their index is broadcast, up to ``block_chars`` characters of passages, and each
+    document is read once for each such block, and searched for ``PART_ITEMS`` items at a time. Word counts, which only rank the seeds, are those of the items themselves.
     """
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0), "doc_id")
@@ -414,17 +426,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b) if blocks > 1 else items
         got = part.select(item_id, passage).filter(F.length(passage) > 0).collect()  # about block_chars characters
-        ready = spark.sparkContext.broadcast(Items([r[0] for r in got], [r[1] for r in got]))
+        ready = spark.sparkContext.broadcast([Items([r[0] for r in got[i : i + PART_ITEMS]], [r[1] for r in got[i : i + PART_ITEMS]]) for i in range(0, len(got), PART_ITEMS)])
 
         def run(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
-            search = ready.value.search
             for pdf in batches:
                 ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
                 out, begin, size = [], 0, 0
                 for end, t in enumerate(texts, 1):
                     size += len(t)
                     if size >= READ_CHARS or end == len(texts):
-                        out += [(ids[begin + i], *hit) for i, *hit in search(texts[begin:end])]
+                        words = word_hashes(texts[begin:end])  # once for all items
+                        out += [(ids[begin + i], *hit) for part in ready.value for i, *hit in part.find(*words)]
                         begin, size = end, 0
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "tile_share", "found_by"])
 
