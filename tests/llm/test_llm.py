@@ -177,6 +177,23 @@ def test_many_items_are_one_pass(spark, small):
     assert (count(one), count(blocks) > 1) == (1, True)
 
 
+def test_pieces_and_parts_change_nothing(spark, small, monkeypatch):
+    import pandas as pd
+
+    docs, items = (pd.read_parquet(f"{small}/{t}.parquet") for t in ("documents", "eval_items"))
+    ids, passages = items.item_id.tolist(), items.passage.tolist()
+    # Long texts, in which the passages stand anywhere, also across the ends of pieces.
+    texts = [" ".join(filter(None, docs.text.sample(60, random_state=i).tolist() + random.Random(i).sample(passages, 5))) for i in range(6)] + [None, ""]
+    whole = sorted(leaks.Items(ids, passages).search(texts))
+    assert len(whole) >= 30
+    monkeypatch.setattr(leaks, "MOST_MET", 500)
+    monkeypatch.setattr(leaks, "PIECE_WORDS", 700)
+    monkeypatch.setattr(leaks, "MOST_CELLS", 0)
+    cut = sorted(h for i in range(0, len(ids), 50) for h in leaks.Items(ids[i : i + 50], passages[i : i + 50]).search(texts))
+    is_leak = lambda hits: [h[:2] for h in hits if h[3] != "moved"]
+    assert is_leak(cut) == is_leak(whole)
+
+
 def test_leaks_are_those_of_brute_force(spark, small):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
