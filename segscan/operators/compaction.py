@@ -56,7 +56,7 @@ def assign_groups(files: DataFrame, target_bytes: int = TARGET_BYTES, block_file
     A file larger than ``target_bytes`` gets ``n_parts`` groups of its own, from ``group_id`` on. Null and negative
     sizes count as 0. A file listed twice is one file (the larger size holds). An empty listing gives no row.
     """
-    files = files.groupBy("file_id").agg(F.max(F.greatest(F.coalesce("n_bytes", F.lit(0)), F.lit(0))).cast("long").alias("n_bytes"), F.max("n_records").cast("long").alias("n_records"))
+    files = checkpointed(files.groupBy("file_id").agg(F.max(F.greatest(F.coalesce("n_bytes", F.lit(0)), F.lit(0))).cast("long").alias("n_bytes"), F.max("n_records").cast("long").alias("n_records")))  # counted, then scheduled
     blocks = max(1, -(-files.count() // block_files))
 
     def schedule(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
