@@ -42,23 +42,33 @@ def breakpoints(x: np.ndarray, penalty: float, least: int = 5) -> list[int]:
     cost = np.full(n + 1, np.inf)
     cost[0] = -penalty
     came = np.zeros(n + 1, np.int64)
-    starts, many = np.array([0]), 64
-    until = np.array([n + 1])  # the first end for which a start is not needed any more
+    # The starts in use, each with the first end for which it is not needed any more; ``soonest`` is the lowest of these.
+    starts, until = np.zeros(n + 1, np.int64), np.full(n + 1, n + 1, np.int64)
+    used, many, soonest = 1, 64, n + 1
     for b in range(least, n + 1):
         if b - least >= least:
-            starts, until = np.append(starts, b - least), np.append(until, n + 1)
-        if until.min() <= b:
-            keep = until > b
-            starts, until = starts[keep], until[keep]
-        sse = s2[b] - s2[starts] - (s1[b] - s1[starts]) ** 2 / (b - starts)
-        total = cost[starts] + sse + penalty
-        i = int(np.argmin(total))
-        cost[b], came[b] = total[i], starts[i]
-        until[(cost[starts] + sse > cost[b] + 1e-9) & (until > b + least)] = b + least
-        if len(starts) > many:
-            left = _live(starts, cost, s1, s2)
-            starts, until = left, until[np.searchsorted(starts, left)]
-            many = max(64, 2 * len(starts))
+            starts[used], until[used] = b - least, n + 1
+            used += 1
+        if soonest <= b:
+            keep = np.flatnonzero(until[:used] > b)
+            starts[: len(keep)], until[: len(keep)] = starts[keep], until[keep]
+            used = len(keep)
+            soonest = int(until[:used].min())
+        mine = starts[:used]
+        total = cost[mine] + (s2[b] - s2[mine] - (s1[b] - s1[mine]) ** 2 / (b - mine))
+        i = int(total.argmin())
+        cost[b], came[b] = total[i] + penalty, mine[i]
+        lost = total > cost[b] + 1e-9
+        if lost.any():
+            own = until[:used]
+            own[lost & (own > b + least)] = b + least
+            soonest = min(soonest, b + least)
+        if used > many:
+            left = _live(mine.copy(), cost, s1, s2)
+            until[: len(left)] = until[np.searchsorted(mine, left)]
+            starts[: len(left)] = left
+            used = len(left)
+            many = max(64, 2 * used)
     ends, b = [], n
     while b > 0:
         ends.append(b)
