@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segscan.llm.words import letter_words, spread
+from segscan.operators.joins import lookup
 from segscan.sources.tables import checkpointed
 
 LEVELS = (1, 2, 3, 4, 5)
@@ -91,8 +92,8 @@ def word_grades(used: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def described(each: DataFrame, known: DataFrame, on: list[str], n: str | None = None) -> DataFrame:
-    """``doc_id, n_known, quantiles`` (null without a known word) of the documents whose words are the rows of ``each``."""
-    looked = each.join(known, on, "left")
+    """``doc_id, n_known, quantiles`` (null without a known word) of the documents whose words are the rows of ``each``; no frequent word is one task."""
+    looked = lookup(each, known, on, F.col("doc_id"), most=BROADCAST_WORDS)
     n_known, weight = (F.count("grade"), ()) if n is None else (F.coalesce(F.sum(F.when(F.col("grade").isNotNull(), F.col(n))), F.lit(0)), (F.col(n),))
     return looked.groupBy("doc_id").agg(n_known.alias("n_known"), F.percentile("grade", F.array(*[F.lit(q) for q in QUANTILES]), *weight).alias("quantiles"))
 
@@ -132,9 +133,7 @@ def reading_level(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = spread(docs.select("doc_id", "text"), "doc_id")
     graded = checkpointed(grades_of(labels))
     used = checkpointed(graded_words(docs, graded))
-    grades, without = word_grades(used)
-    grades = checkpointed(grades)
+    grades, without = map(checkpointed, word_grades(used))
     model = calibrate(described(used, without, ["word", "fold"], "n"), graded)
-    known = F.broadcast(grades) if grades.count() <= BROADCAST_WORDS else grades
     each = docs.select("doc_id", F.explode_outer(letter_words(F.col("text"))).alias("word"))
-    return described(each, known, ["word"]).select("doc_id", F.when(F.col("n_known") > 0, model.level(F.col("quantiles"))).alias("level"), "n_known")
+    return described(each, grades, ["word"]).select("doc_id", F.when(F.col("n_known") > 0, model.level(F.col("quantiles"))).alias("level"), "n_known")

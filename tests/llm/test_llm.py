@@ -242,6 +242,14 @@ def test_levels_hold_out(spark):
     assert sum((r.hand >= 4) == (r.level >= 4) for r in pairs) / len(pairs) > 0.9
 
 
+def test_levels_beyond_the_broadcast(spark, small, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "level_labels"))
+    levels_of = lambda: {r.doc_id: (r.level, r.n_known) for r in levels.reading_level(docs, labels).collect()}
+    whole = levels_of()
+    monkeypatch.setattr(levels, "BROADCAST_WORDS", 0)
+    assert levels_of() == whole and len(whole) == docs.count()
+
+
 def test_levels_of_nothing(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "cat sat"), (3, "cat sat")], "doc_id long, text string").withColumn("word", F.lit(1))
     none = spark.createDataFrame([], "doc_id long, rater string, level_no int, rated_at timestamp")
