@@ -50,19 +50,19 @@ def _record() -> dict:
     return {"sample_id": F.upper(strip("sample_id")), "chrom": bare_chrom("chrom"), "pen_const": F.col("pen_const"), **{m: F.col(m) for m in MEASURES}}
 
 
-def _compacted(spark: SparkSession, d: str, left_out: bool) -> DataFrame:
+def _compacted(spark: SparkSession, d: str, left_out: bool, *columns: str) -> DataFrame:
     records = table(spark, d, "cp_features")
     folder = shared_folder(spark, "compact")
     compact(records, table(spark, d, "cp_files"), _record(), folder, RAW_BYTES)
-    return read_published(spark, folder, records.schema, left_out)
+    return read_published(spark, folder, records.select(*columns or "*").schema, left_out)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _compacted(spark, d, left_out=True).select("file_id", "line_no")
+    return _compacted(spark, d, True, "file_id", "line_no")
 
 
 def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
-    return _compacted(spark, d, left_out=False)
+    return _compacted(spark, d, False)
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -144,6 +144,57 @@ def test_compact_in_several_groups(spark, tmp_path):
     assert read_published(spark, str(tmp_path / "b"), df.schema).count() == 0
 
 
+@pytest.mark.parametrize("settings", [{}, {"BLOCK_FILES": 2, "BROADCAST_KEYS": 3}, {"BLOCK_FILES": 2, "HALVED_BLOCKS": 99}, {"BLOCK_RECORDS": 0}])
+def test_compact_by_block_and_by_group(spark, tmp_path, monkeypatch, settings):
+    from segscan.operators import compaction
+
+    for k, v in settings.items():
+        monkeypatch.setattr(compaction, k, v)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(1, 60)]), rng.choice([None, 1, 2, 3]), rng.choice("abcdef"), rng.choice([None, 1.0, 2.0]), rng.choice([1, 2, None])) for _ in range(900)]
+    rows += [(7, i, "same", 1.0, 1) for i in range(200)] + [(9, 1, "same", 1.0, 1)] * 50 + [(8, 1, "same", None, None), (8, 2, None, None, None), (70, 1, "alone", 3.0, None), (71, 1, None, 8.0, 8)]
+    df = spark.createDataFrame(rows, "file_id long, line_no int, s string, p double, n int")
+    files = spark.createDataFrame([(i, None if i % 9 == 0 else 70 * i, 3) for i in range(1, 52)] + [(7, 5000, 1), (8, -4, 1), (None, 10, 1), (200, 10, 1)], "file_id long, n_bytes long, n_records int")
+    manifest = compaction.compact(df, files, _identity(), str(tmp_path), target_bytes=900)
+    assert manifest["records"] == len(rows) and len(manifest["files"]) > 30
+    kept, left = ([tuple(r) for r in compaction.read_published(spark, str(tmp_path), df.schema, x).collect()] for x in (False, True))
+    full = [r[2:] for r in rows if r[4] is not None]
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)):
+        if r[4] is not None or not any(all(x is None or x == y for x, y in zip(r[2:], f)) for f in full):
+            want.setdefault(r[2:], r)
+    assert sorted(map(repr, kept)) == sorted(map(repr, want.values()))
+    assert sorted(map(repr, kept + left)) == sorted(map(repr, rows))
+    few = compaction.read_published(spark, str(tmp_path), df.select("p", "file_id").schema, True).collect()
+    assert sorted(map(repr, few)) == sorted(repr(r) for r in spark.createDataFrame([(x[3], x[0]) for x in left], "p double, file_id long").collect())
+
+
+def test_ids_that_are_no_short_numbers_are_compacted_by_group(spark, tmp_path):
+    from segscan.operators.compaction import compact
+
+    rows = [(-3, 1, "a", 1.0, 1), (1 << 60, 2, "a", 1.0, 1), (5, 1 << 25, "b", 1.0, 1), (5, 1, "b", 1.0, 1), (0, 0, "c", 1.0, 1)]
+    df = spark.createDataFrame(rows, "file_id long, line_no int, s string, p double, n int")
+    assert compact(df, spark.createDataFrame([(5, 1, 1)], "file_id long, n_bytes long, n_records int"), _identity(), str(tmp_path))["kept"] == 3
+
+
+def test_tasks_do_not_grow_with_output_files(spark, tmp_path):
+    from segscan.operators.compaction import compact, read_published
+
+    n = 400
+    df = spark.createDataFrame([(i, 1, f"s{i // 2}", 1.0, 1) for i in range(n)], "file_id long, line_no int, s string, p double, n int")
+    files = spark.createDataFrame([(i, 100, 1) for i in range(n)], "file_id long, n_bytes long, n_records int")
+    spark.sparkContext.setJobGroup("compact", "compact")
+    try:
+        assert len(compact(df, files, _identity(), str(tmp_path), target_bytes=100)["files"]) == n
+        assert [read_published(spark, str(tmp_path), df.schema, x).count() for x in (False, True)] == [n // 2, n // 2]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(k) for j in status.getJobIdsForGroup("compact") for k in status.getJobInfo(j).stageIds]
+    assert max(x.numTasks for x in stages if x) < 50  # no task for each file; the driver lists none of them
+    assert len(list(tmp_path.glob("left_out-*.parquet"))) == 1
+
+
 def test_nothing_is_published_that_does_not_agree():
     from segscan.operators.compaction import verify
 
